@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_format
 from .decontaminate import OP9_SQL, op9_decontamination
+from .ngram_join import OP1_SQL, op1_ngram_join
+from .quality import op8_quality
+from .toxicity import op10_toxicity
 from .url_rules import OP7_SQL, op7_url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op3_chat_format": op3_chat_format,
         "op7_url_filter": op7_url_filter,
+        "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": OP1_SQL,
         "op3_chat_format": OP3_SQL,
         "op7_url_filter": OP7_SQL,
         "op9_decontamination": OP9_SQL,

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat_format
 from .decontaminate import OP9_SQL, op9_decontamination
+from .mixing import op2_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
+from .pii import op4_pii
 from .quality import op8_quality
+from .telephony import op5_telephony
+from .tokens import op6_token_ids
 from .toxicity import op10_toxicity
 from .url_rules import OP7_SQL, op7_url_filter
 
@@ -13,7 +17,11 @@ from .url_rules import OP7_SQL, op7_url_filter
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_mixing": op2_mixing,
         "op3_chat_format": op3_chat_format,
+        "op4_pii": op4_pii,
+        "op5_telephony": op5_telephony,
+        "op6_token_ids": op6_token_ids,
         "op7_url_filter": op7_url_filter,
         "op8_quality": op8_quality,
         "op9_decontamination": op9_decontamination,

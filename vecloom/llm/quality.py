@@ -1,8 +1,8 @@
 """Operator 8: quality by nearest-neighbour voting.
 
 A text becomes the square roots of its relative frequencies of adjacent
-character classes, weighted by how rarely labelled texts use them, and is
-projected on the leading singular vectors of the labelled sample (a latent
+character classes and of words that repeat one of the three before them,
+weighted by how rarely labelled texts have them, and is projected on the leading singular vectors of the labelled sample (a latent
 semantic space).  The labelled vectors, bounded by a parameter, are broadcast.
 Exact cosine products of every document with all of them, block by block, give
 its nearest neighbours; their labels vote with a power of their similarity as
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import gathered, remainder, sample
-from .textkernels import pieces, utf8
+from .textkernels import SPACES, WordHasher, break_table, pieces, utf8
 
 #: Bounds of the labelled sample, by label.
 PER_CLASS = (1500, 2000)
@@ -45,11 +45,12 @@ def class_table() -> np.ndarray:
 
 
 class Profile:
-    """Vectors of texts before projection: float32, CLASSES squared plus one constant."""
+    """Vectors of texts before projection: float32, CLASSES squared, three repetitions and a constant."""
 
     def __init__(self):
         self.table = class_table()
-        self.width = CLASSES * CLASSES + 1
+        self.width = CLASSES * CLASSES + 4
+        self.words = WordHasher(break_table(SPACES))
 
     def rows(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         n = len(off) - 1
@@ -62,7 +63,14 @@ class Profile:
         inner = text[1:] == text[:-1]
         cell = text[1:] * (CLASSES * CLASSES) + cls[:-1] * CLASSES + cls[1:]
         counts = np.bincount(cell[inner], minlength=n * CLASSES * CLASSES).reshape(n, -1)
-        out[:, :-1] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+        out[:, :-4] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+        starts, ends, first = self.words.spans(raw, off)
+        h = self.words.hashes(raw, starts, ends)
+        n_words = np.diff(first)
+        owner = np.repeat(np.arange(n), n_words)
+        for lag in (1, 2, 3):
+            again = (h[lag:] == h[:-lag]) & (owner[lag:] == owner[:-lag])
+            out[:, -5 + lag] = np.sqrt(np.bincount(owner[lag:][again], minlength=n) / np.maximum(n_words, 1))
         return out
 
 
@@ -105,7 +113,7 @@ def fit(rows: list, share: float) -> Voters:
     y = np.array([r[2] for r in rows], np.float64)
     df = (x > 0).mean(0)
     weights = np.log1p(1 / np.maximum(df, 1 / len(x))).astype(np.float32)
-    weights[-1] = 1
+    weights[-4:] = 2, 1, 1, 1
     xw = x * weights
     rng = np.random.default_rng(8)
     dims = min(DIMS, len(x))

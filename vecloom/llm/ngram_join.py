@@ -43,7 +43,11 @@ BUCKET_GRAMS, COUNTED = 1 << 20, 1 << 21
 #: Rows per Arrow batch sent to Python: texts can be long.
 BATCH_ROWS = "400"
 
-SETS = "doc_id long, n int, s1 long, s2 long, h0 long, h1 long, h2 long, h3 long"
+#: Sketches of a set for the suffix filter: 32 counts of a byte each, and the parities of 512 counts.
+COUNTS, PARITIES = [f"h{k}" for k in range(4)], [f"g{k}" for k in range(8)]
+SETS = "doc_id long, n int, s1 long, s2 long, " + ", ".join(f"{c} long" for c in COUNTS + PARITIES)
+#: Neighbours paired in an order of a gram's postings, and the number of random orders.
+REACH, ORDERS = 3, 3
 
 
 def _per_text(grams: np.ndarray, bound: np.ndarray, values: np.ndarray, how: np.ufunc) -> np.ndarray:
@@ -69,10 +73,12 @@ def _set_rows(width: int):
                 text = np.repeat(np.arange(j - i), n)
                 cells = np.bincount(text * 32 + (grams >> np.uint64(59)).astype(np.int64), minlength=32 * (j - i))
                 h = np.minimum(cells, 255).astype(np.uint8).reshape(-1, 32).view(np.int64)
+                odd = np.bincount(text * 512 + (grams >> np.uint64(3) & np.uint64(511)).astype(np.int64), minlength=512 * (j - i)) & 1
+                g = np.packbits(odd.astype(np.uint8).reshape(-1, 512), axis=1).view(np.int64)
                 yield pa.record_batch(
                     [ids.slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                     *(pa.array(np.ascontiguousarray(h[:, k])) for k in range(4))],
-                    ["doc_id", "n", "s1", "s2", "h0", "h1", "h2", "h3"])
+                     *(pa.array(np.ascontiguousarray(x[:, k])) for x in (h, g) for k in range(x.shape[1]))],
+                    ["doc_id", "n", "s1", "s2", *COUNTS, *PARITIES])
 
     return rows
 
@@ -237,14 +243,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     return stored(both.select("u", "v", "ta", "tb").mapInArrow(_verify_rows(width, num, den), "u long, v long"), "links")
 
 
-def _difference(a: str, b: str) -> Column:
-    """Lower bound of the sets' symmetric difference from counts in 32 ranges."""
+def _difference(a: Column, b: Column) -> Column:
+    """Lower bound of the sets' symmetric difference: it is no less than the
+    counts' differences in the 32 ranges, nor than the number of the 512 cells
+    whose parities differ.  The first tells long texts apart, the second short
+    ones."""
     total = F.lit(0)
-    for k in range(4):
+    for k in COUNTS:
         for s in range(0, 64, 8):
-            cell = lambda side: F.shiftright(F.col(f"{side}h{k}"), s).bitwiseAND(F.lit(255))  # noqa: B023, E731
-            total = total + F.abs(cell(a) - cell(b))
-    return total
+            total = total + F.abs(F.shiftright(a[k], s).bitwiseAND(F.lit(255)) - F.shiftright(b[k], s).bitwiseAND(F.lit(255)))
+    odd = F.lit(0)
+    for k in PARITIES:
+        odd = odd + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return F.greatest(total, odd.cast("long"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +275,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     sets = stored(docs.mapInArrow(_set_rows(width), SETS), "sets")
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     same = ["s1", "s2", "n"]
-    reps = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.first(f"h{k}").alias(f"h{k}") for k in range(4)])
+    reps = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in COUNTS + PARITIES])
     reps = stored(reps, "reps")
 
     grams = common_grams(docs, width, total)
@@ -274,48 +285,50 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     near = posts.select("*", F.lag("sid").over(in_order).alias("before"), F.lead("sid").over(in_order).alias("after"))
     # a run of one set (exact copies in several shares post it again) keeps its ends next to other sets only
     near = near.where("before <> sid or after <> sid")
-    info = reps.select(F.col("s1").alias("sid"), "rep", "h0", "h1", "h2", "h3")
+    info = reps.select(F.col("s1").alias("sid"), "rep", *COUNTS, *PARITIES)
     shared = stored(near.select("gram", "sid", "n", "pos"), "shared").distinct()
     shared = stored(shared.join(info, "sid"), "postings")
 
-    cols = ["rep", "n", "pos", "h0", "h1", "h2", "h3"]
-    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in cols]
-    need = lambda a, b: F.ceil(F.lit(num) * (F.col(f"{a}_n") + F.col(f"{b}_n")).cast("long") / F.lit(float(num + den)) - F.lit(1e-9))
+    need = lambda a, b: F.ceil(F.lit(num) * (a["n"] + b["n"]).cast("long") / F.lit(float(num + den)) - F.lit(1e-9))
 
-    def may_link(a: str, b: str) -> Column:
-        """Length, positional and suffix filters for a pair with a_n <= b_n."""
-        rest = F.least(F.col(f"{a}_n") - F.col(f"{a}_pos"), F.col(f"{b}_n") - F.col(f"{b}_pos"))
+    def may_link(a: Column, b: Column) -> Column:
+        """Length, positional and suffix filters for a pair of which ``a`` isn't the longer."""
         return (
-            (F.lit(den) * F.col(f"{a}_n").cast("long") >= F.lit(num) * F.col(f"{b}_n").cast("long"))
-            & (rest >= need(a, b))
-            & (_difference(f"{a}_", f"{b}_") <= F.col(f"{a}_n") + F.col(f"{b}_n") - 2 * need(a, b))
+            (F.lit(den) * a["n"].cast("long") >= F.lit(num) * b["n"].cast("long"))
+            & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need(a, b))
+            & (_difference(a, b) <= a["n"] + b["n"] - 2 * need(a, b))
         )
 
+    def pairs_of(df: DataFrame) -> DataFrame:
+        return df.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).where("u <> v").distinct()
+
+    whole = F.struct("rep", "n", "pos", *COUNTS, *PARITIES)
+
     def chains() -> DataFrame:
-        orders = [["n", "sid"]] + [[F.xxhash64("sid", F.lit(k))] for k in range(3)]
+        """Pairs of near neighbours in a gram's postings, by size and in random orders."""
         out = None
-        for o in orders:
-            w = Window.partitionBy("gram").orderBy(*o)
-            pair = shared.select(*side("b"), *[F.lag(c).over(w).alias(f"a_{c}") for c in cols]).where("a_rep is not null")
-            up = F.col("a_n") <= F.col("b_n")
-            both = (up & may_link("a", "b")) | (~up & may_link("b", "a"))
-            pair = pair.where(both).select(F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v"))
+        for order in [["n", "sid"], *([F.xxhash64("sid", F.lit(k))] for k in range(ORDERS))]:
+            w = Window.partitionBy("gram").orderBy(*order)
+            near = shared.select(whole.alias("b"), F.array(*[F.lag(whole, k).over(w) for k in range(1, REACH + 1)]).alias("as_"))
+            pair = near.select("b", F.explode("as_").alias("a")).where("a is not null")
+            a, b = F.col("a"), F.col("b")
+            pair = pair.where(((a["n"] <= b["n"]) & may_link(a, b)) | ((a["n"] > b["n"]) & may_link(b, a)))
             out = pair if out is None else out.unionByName(pair)
-        return out.where("u <> v").distinct()
+        return pairs_of(out)
 
     links = _verified(chains(), docs, width, num, den)
     roots = components(links)
 
     comp = F.coalesce(F.col("root"), F.col("rep")).alias("comp")
-    placed = shared.join(roots, shared["rep"] == roots["u"], "left").select("gram", *cols, comp)
+    placed = shared.join(roots, shared["rep"] == roots["u"], "left").select("gram", whole.alias("x"), comp)
     mixed_up = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
     placed = stored(placed.join(mixed_up, "gram", "left_semi"), "placed")
-    a = placed.select("gram", *side("a"), F.col("comp").alias("a_comp"))
-    b = placed.select(F.col("gram").alias("b_gram"), *side("b"), F.col("comp").alias("b_comp"))
-    first_half = F.col("a_pos") < F.col("a_n") - F.ceil(F.lit(2 * num) * F.col("a_n").cast("long") / F.lit(float(num + den)) - F.lit(1e-9)) + 1
-    ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_rep") < F.col("b_rep")))
-    apart = a.join(b, (F.col("gram") == F.col("b_gram")) & ordered & (F.col("a_comp") != F.col("b_comp")) & first_half & may_link("a", "b"))
-    rest = apart.select(F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct()
+    left = placed.select("gram", F.col("x").alias("a"), F.col("comp").alias("a_comp"))
+    right = placed.select(F.col("gram").alias("b_gram"), F.col("x").alias("b"), F.col("comp").alias("b_comp"))
+    a, b = F.col("a"), F.col("b")
+    first_half = a["pos"] < a["n"] - F.ceil(F.lit(2 * num) * a["n"].cast("long") / F.lit(float(num + den)) - F.lit(1e-9)) + 1
+    ordered = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["rep"] < b["rep"]))
+    rest = pairs_of(left.join(right, (F.col("gram") == F.col("b_gram")) & ordered & (F.col("a_comp") != F.col("b_comp")) & first_half & may_link(a, b)))
     more = _verified(rest, docs, width, num, den)
     if not more.isEmpty():
         roots = components(links.unionByName(more))

@@ -7,10 +7,10 @@ without a copy.  A second small file lists the shard's documents and their
 lengths.  Shards are written under a temporary name and renamed, so a task
 that runs again leaves one whole file; the folder is the shared one.
 
-Encoding goes through the tokenizers library, one pre-token at a time: a text
-is cut by the tokenizer's own pattern and each distinct piece is encoded once
-for a worker.  Texts outside the safe alphabet, where two Unicode versions
-might cut differently, are encoded whole.
+Encoding goes through the tokenizers library, one pre-token at a time: texts
+are cut where the tokenizer's pattern cuts them and each distinct piece is
+encoded once for a worker.  Texts with other characters than ASCII and the
+letters of Latin-1 are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -22,99 +22,214 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import fresh_path, stored
+from .textkernels import WordHasher, pieces, utf8
 
 LENGTH, END_ID = 2048, 2
 #: Sequences in a record batch.
 BATCH = 64
-#: Distinct pieces a worker remembers.
-REMEMBERED = 400_000
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SAFE = re.compile("[\t\n\r\x20-\x7e\xa0-\xff]*")
+#: Distinct pieces a worker remembers (about 60 bytes each).
+REMEMBERED = 600_000
 SPACED = re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
+class PieceTable:
+    """An open-addressing hash table from 64-bit hashes to 0, 1, 2, ... in order of arrival."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.keys, self.values, self.count = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash (not 0), or -1."""
+        m = np.uint64(len(self.keys) - 1)
+        slot = h & m
+        out = np.full(len(h), -1, np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            k = self.keys[slot]
+            hit = k == h[left]
+            out[left[hit]] = self.values[slot[hit]]
+            go = ~hit & (k != 0)
+            left, slot = left[go], (slot[go] + np.uint64(1)) & m
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Number distinct hashes that the table lacks."""
+        numbers = np.arange(self.count, self.count + len(h))
+        if 2 * (self.count + len(h)) > len(self.keys):
+            full = self.keys != 0
+            h, numbers = np.concatenate([self.keys[full], h]), np.concatenate([self.values[full], numbers])
+            slots = len(self.keys)
+            while 2 * len(h) > slots:
+                slots *= 2
+            self.keys, self.values = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+        self.count = int(numbers[-1]) + 1 if len(numbers) else self.count
+        m = np.uint64(len(self.keys) - 1)
+        slot = h & m
+        while len(h):
+            free = self.keys[slot] == 0
+            first = np.unique(slot[free], return_index=True)[1]
+            won = np.flatnonzero(free)[first]
+            self.keys[slot[won]], self.values[slot[won]] = h[won], numbers[won]
+            lost = np.ones(len(h), bool)
+            lost[won] = False
+            h, numbers, slot = h[lost], numbers[lost], (slot[lost] + np.uint64(1)) & m
+
+
+#: Classes of bytes: letters, digits, white space, marks; 0 leaves the fast way.
+LETTER, DIGIT, SPACE, MARK = 1, 2, 3, 4
+
+
+def byte_classes() -> np.ndarray:
+    table = np.zeros(256, np.uint8)
+    table[33:127] = MARK
+    table[48:58] = DIGIT
+    table[65:91] = table[97:123] = LETTER
+    table[[9, 10, 13, 32]] = SPACE
+    table[0xC3] = table[0x80:0xC0] = LETTER  # U+00C0 to U+00FF; see plain()
+    return table
+
+
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer file."""
+    """Ids of texts by a byte-level BPE tokenizer file.
+
+    Pieces are found on the bytes of many texts at once, by the rules of the
+    tokenizer's pattern: contractions; runs of letters, digits or marks with
+    one blank before them; white space, of which the last character stands
+    alone or joins what follows.  Each distinct piece is encoded once.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(PATTERN).findall
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.classes = byte_classes()
+        self.hasher = WordHasher(np.zeros(256, bool), fold=False)
         self.clear()
 
     def clear(self) -> None:
-        new: list[str] = []
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> int:
-                new.append(piece)
-                self[piece] = n = len(self)
-                return n
-
-        self.known, self.new = Known(), new
+        self.table = PieceTable()
         self.pool, self.filled = np.zeros(1 << 16, self.dtype), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.learnt = 0
 
-    def _learn(self) -> None:
-        """Encode the pieces met for the first time; runs of spaced words in one call."""
-        spaced = [k for k, p in enumerate(self.new) if SPACED.fullmatch(p)]
-        rest = sorted(set(range(len(self.new))) - set(spaced))
-        sizes = np.zeros(len(self.new), np.int64)
-        parts: dict[int, list[int]] = {}
-        ids, order = [], []
-        if spaced:
-            e = self.tokenizer.encode("".join(self.new[k] for k in spaced), add_special_tokens=False)
-            sizes[spaced] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(spaced))
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces met for the first time; runs of spaced words in one call."""
+        spaced = [k for k, p in enumerate(new) if SPACED.fullmatch(p)]
+        rest = sorted(set(range(len(new))) - set(spaced))
+        sizes = np.zeros(len(new), np.int64)
+        ids = []
+        for a in range(0, len(spaced), 4000):
+            part = spaced[a:a + 4000]
+            e = self.tokenizer.encode("".join(new[k] for k in part), add_special_tokens=False)
+            sizes[part] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
             ids.append(np.array(e.ids, self.dtype))
-        for k, e in zip(rest, self.tokenizer.encode_batch([self.new[k] for k in rest], add_special_tokens=False)):
-            parts[k] = e.ids
-            sizes[k] = len(e.ids)
+        for a in range(0, len(rest), 4000):
+            part = rest[a:a + 4000]
+            for k, e in zip(part, self.tokenizer.encode_batch([new[k] for k in part], add_special_tokens=False)):
+                sizes[k] = len(e.ids)
+                ids.append(np.array(e.ids, self.dtype))
         order = spaced + rest
-        ids += [np.array(parts[k], self.dtype) for k in rest]
         flat = np.concatenate(ids) if ids else np.zeros(0, self.dtype)
         while self.filled + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.filled:self.filled + len(flat)] = flat
-        while self.learnt + len(self.new) > len(self.starts):
+        while self.learnt + len(new) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         at = self.filled + np.cumsum(sizes[order]) - sizes[order]
         self.starts[self.learnt + np.array(order, np.int64)] = at
-        self.sizes[self.learnt:self.learnt + len(self.new)] = sizes
+        self.sizes[self.learnt:self.learnt + len(new)] = sizes
         self.filled += len(flat)
-        self.learnt += len(self.new)
-        self.new.clear()
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after the other, and the number of each text."""
-        if len(self.known) > REMEMBERED:
+        self.learnt += len(new)
+
+    def plain(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Texts of the safe alphabet: printable ASCII, tab, line breaks and the letters from U+00C0 to U+00FF."""
+        cls = self.classes[raw]
+        tail = (raw >= 0x80) & (raw < 0xC0)
+        lead = np.concatenate([[False], raw[:-1] == 0xC3])
+        odd = (cls == 0) | (tail & (~lead | (raw == 0x97) | (raw == 0xB7)))
+        bad = np.concatenate([[0], np.cumsum(odd)])
+        good = bad[off[1:]] == bad[off[:-1]]
+        for s in self.special:
+            if bytes(raw).find(s) >= 0:
+                good &= np.array([bytes(raw[a:b]).find(s) < 0 for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
+        return good
+
+    def cut(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Starts of pieces in the bytes of whole plain texts, none of which is empty."""
+        cls = self.classes[raw]
+        change = np.concatenate([[True], cls[1:] != cls[:-1]])
+        change[off[:-1]] = True
+        runs = np.flatnonzero(change)
+        ends = np.append(runs[1:], len(raw))
+        blank = cls[runs] == SPACE
+        final = np.isin(ends, off)
+        start = change.copy()
+        # what follows white space in the same text starts with the blank before it, if it is one
+        inner = blank & ~final
+        start[ends[inner & (raw[ends - 1] == 32)]] = False
+        start[ends[inner & (ends - runs >= 2)] - 1] = True
+        quotes = np.flatnonzero(raw == 39)
+        if len(quotes):
+            before = np.where(np.isin(quotes, off[:-1]), 0, cls[quotes - 1])
+            fresh = (before != MARK) & ~((before == SPACE) & (raw[quotes - 1] == 32))
+            room = off[np.searchsorted(off, quotes, "right")] - quotes
+            a = raw[np.minimum(quotes + 1, len(raw) - 1)]
+            b = raw[np.minimum(quotes + 2, len(raw) - 1)]
+            two = fresh & (room >= 2) & np.isin(a, np.frombuffer(b"stmd", np.uint8))
+            three = fresh & (room >= 3) & (((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108))
+            for q, n in ((quotes[two], 2), (quotes[three], 3)):
+                start[q + 1] = False
+                past = q + n
+                start[past[past < len(raw)]] = True
+                # a letter run that goes on after the contraction starts anew; white space and marks already do
+        return np.flatnonzero(start)
+
+    def _fast(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(raw):
+            return np.zeros(0, self.dtype), np.zeros(len(off) - 1, np.int64)
+        starts = self.cut(raw, np.unique(off))
+        ends = np.append(starts[1:], len(raw))
+        h = self.hasher.hashes(raw, starts, ends) | np.uint64(1)
+        at = self.table.find(h)
+        if (at < 0).any():
+            missing = np.flatnonzero(at < 0)
+            new, first = np.unique(h[missing], return_index=True)
+            self.table.add(new)
+            data = raw.tobytes()
+            self._learn([data[starts[k]:ends[k]].decode() for k in missing[first].tolist()])
+            at[missing] = self.table.find(h[missing])
+        n = self.sizes[at]
+        stop = np.cumsum(n)
+        ids = self.pool[np.repeat(self.starts[at] - stop + n, n) + np.arange(int(stop[-1]))]
+        upto = np.concatenate([[0], stop])[np.searchsorted(starts, off)]
+        return ids, np.diff(upto)
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a buffer, one text after the other, and the number of each text."""
+        if self.table.count > REMEMBERED:
             self.clear()
-        plain = [SAFE.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        at = [np.fromiter(map(self.known.__getitem__, self.cut(t)), np.int64) if p else None for t, p in zip(texts, plain)]
-        if self.new:
-            self._learn()
-        whole = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)) if not all(plain) else None
-        out = []
-        for x in at:
-            if x is None:
-                out.append(np.array(next(whole).ids, self.dtype))
-                continue
-            n = self.sizes[x]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.pool[np.repeat(self.starts[x] - ends + n, n) + np.arange(total)])
-        return (np.concatenate(out) if out else np.zeros(0, self.dtype)), np.array([len(o) for o in out], np.int64)
+        good = self.plain(raw, off)
+        if good.all():
+            return self._fast(raw, off)
+        n = np.diff(off)
+        keep = np.repeat(good, n)
+        ids, count = self._fast(raw[keep], np.concatenate([[0], np.cumsum(n[good])]))
+        data = raw.tobytes()
+        others = [data[a:b].decode() for a, b, g in zip(off[:-1].tolist(), off[1:].tolist(), good.tolist()) if not g]
+        parts, fast = [], iter(np.split(ids, np.cumsum(count)[:-1]) if len(count) else [])
+        slow = (np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) for t in others)
+        for g in good.tolist():
+            parts.append(next(fast) if g else next(slow))
+        return (np.concatenate(parts) if parts else ids), np.array([len(p) for p in parts], np.int64)
 
 
 def encoder(path: str) -> Encoder:
@@ -195,11 +310,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, base: str | None = None,
                 tmp = f"{folder}/.{name}-{task.taskAttemptId()}"
                 sink = files.open_output_stream(tmp)
                 writer = ShardWriter(sink, enc.dtype, length)
-            texts = batch.column(1).fill_null("").to_pylist()
-            flat, n = enc.encode(texts)
-            ends = np.cumsum(n)
-            writer.add(np.insert(flat, ends, end_id))
-            counts.append(n + 1)
+            for _, _, data, own in pieces(*utf8(batch.column(1))):
+                flat, n = enc.encode(data, own)
+                writer.add(np.insert(flat, np.cumsum(n), end_id))
+                counts.append(n + 1)
             ids.append(batch.column(0))
         if writer is not None:
             writer.close()

@@ -302,27 +302,33 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     def pairs_of(df: DataFrame) -> DataFrame:
         return df.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).where("u <> v").distinct()
 
-    whole = F.struct("rep", "n", "pos", *COUNTS, *PARITIES)
-
-    def chains() -> DataFrame:
-        """Pairs of near neighbours in a gram's postings, by size and in random orders."""
+    def chains(posted: DataFrame, orders: list) -> DataFrame:
+        """Pairs of near neighbours, of two components, in a gram's postings."""
         out = None
-        for order in [["n", "sid"], *([F.xxhash64("sid", F.lit(k))] for k in range(ORDERS))]:
+        for order in orders:
             w = Window.partitionBy("gram").orderBy(*order)
-            near = shared.select(whole.alias("b"), F.array(*[F.lag(whole, k).over(w) for k in range(1, REACH + 1)]).alias("as_"))
-            pair = near.select("b", F.explode("as_").alias("a")).where("a is not null")
+            me = F.struct("x", "comp")
+            near = posted.select(me.alias("b"), F.array(*[F.lag(me, k).over(w) for k in range(1, REACH + 1)]).alias("as_"))
+            pair = near.select(F.col("b.x").alias("b"), F.col("b.comp").alias("b_comp"), F.explode("as_").alias("a")).where("a is not null and a.comp <> b_comp")
+            pair = pair.select(F.col("a.x").alias("a"), "b")
             a, b = F.col("a"), F.col("b")
             pair = pair.where(((a["n"] <= b["n"]) & may_link(a, b)) | ((a["n"] > b["n"]) & may_link(b, a)))
             out = pair if out is None else out.unionByName(pair)
         return pairs_of(out)
 
-    links = _verified(chains(), docs, width, num, den)
-    roots = components(links)
+    def by_hash(k: int) -> list:
+        return [F.xxhash64("x.rep", F.lit(k))]
 
-    comp = F.coalesce(F.col("root"), F.col("rep")).alias("comp")
-    placed = shared.join(roots, shared["rep"] == roots["u"], "left").select("gram", whole.alias("x"), comp)
-    mixed_up = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    placed = stored(placed.join(mixed_up, "gram", "left_semi"), "placed")
+    whole = F.struct("rep", "n", "pos", *COUNTS, *PARITIES)
+    placed, links, roots = shared.select("gram", whole.alias("x"), F.col("rep").alias("comp")), None, None
+    # a second look at what the first left apart joins most of a large group before all its pairs are tried
+    for orders in ([["x.n", "x.rep"], *(by_hash(k) for k in range(ORDERS))], [by_hash(k) for k in range(ORDERS, 2 * ORDERS)]):
+        found = _verified(chains(placed, orders), docs, width, num, den)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        placed = shared.join(roots, shared["rep"] == roots["u"], "left").select("gram", whole.alias("x"), F.coalesce("root", "rep").alias("comp"))
+        mixed_up = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
+        placed = stored(placed.join(mixed_up, "gram", "left_semi"), "placed")
     left = placed.select("gram", F.col("x").alias("a"), F.col("comp").alias("a_comp"))
     right = placed.select(F.col("gram").alias("b_gram"), F.col("x").alias("b"), F.col("comp").alias("b_comp"))
     a, b = F.col("a"), F.col("b")

@@ -14,8 +14,15 @@ from .toxicity import op10_toxicity
 from .url_rules import OP7_SQL, op7_url_filter
 
 
+def _pipeline(spark, sf_dir: str):
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_ngram_join": op1_ngram_join,
         "op2_mixing": op2_mixing,
         "op3_chat_format": op3_chat_format,

@@ -18,14 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import stored
+from .bits import build, has, table_size
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything that is no word character once A-Z is lower-cased.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Windows up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
-#: Largest bit table, in 64-bit words (1 MiB).
-MOST_WORDS = 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -55,76 +54,49 @@ def _probe_key(w: Column, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(w, at + i) for i in range(min(size, 4))])
 
 
-def _bit_table(grams: DataFrame, size: int, words64: int) -> list[int]:
-    """Bits of the windows of one size; two per window."""
-    w = F.transform(F.split("gram", " "), F.lower)
-    h = _probe_key(w, F.lit(0), size)
-    m = words64 * 64 - 1
-    bits = grams.where(F.col("size") == size).select(F.explode(F.array(
-        F.shiftrightunsigned(h, 0).bitwiseAND(F.lit(m)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(m)))).alias("b")).distinct()
-    cells = bits.groupBy(F.shiftright("b", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
-    table = [0] * words64
-    for r in cells.toLocalIterator():
-        table[r["cell"]] = r["v"]
-    return table
-
-
-def _literal(table: list[int]) -> Column:
-    """A constant array<long>: one node in the plan, folded once by the optimizer."""
-    return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
-
-
 def scan(docs: DataFrame, grams: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Occurrences of windows in documents: id, at (0-based word), size, items, one row per (id, at, size).
+    """Occurrences of windows in documents: id, th (the text's hash), at (0-based word), size, items, one row per (id, th, at, size).
 
     Only columns ``id_col`` and ``text_col`` of ``docs`` are read.
     """
     sizes = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = docs.sparkSession
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text_col}`")).alias("w"))
-    probes, tables = [], {}
+    text = F.col(f"`{text_col}`")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), words(text).alias("w"))
+    tables = {}
     for size, count in sorted(sizes.items()):
-        words64 = 64
-        while words64 * 64 < count * 64 and words64 < MOST_WORDS:
-            words64 *= 2
-        tables[size] = words64
-        probes.append((size, _bit_table(grams, size, words64)))
-    if not probes:
-        return spark.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, at int, size int, items array<string>")
-    names = {f"bits{size}": _literal(t) for size, t in probes}
+        w = F.transform(F.split("gram", " "), F.lower)
+        probe = grams.where(F.col("size") == size).select(_probe_key(w, F.lit(0), size).alias("h"))
+        tables[size] = table_size(count), build(probe, "h", table_size(count))
+    if not tables:
+        return spark.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, th long, at int, size int, items array<string>")
     scanned = base.withColumn("lw", F.transform("w", F.lower))
 
     def hits(size: int) -> Column:
-        bits, m = names[f"bits{size}"], tables[size] * 64 - 1
-
-        def passes(i: Column) -> Column:
-            h = _probe_key(F.col("lw"), i, size)
-            a, b = h.bitwiseAND(F.lit(m)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(m))
-            set_bit = lambda x: F.call_function("shiftrightunsigned", F.get(bits, F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-            return set_bit(a) & set_bit(b)
-
+        cells, table = tables[size]
         starts = F.when(F.size("lw") >= size, F.sequence(F.lit(0), F.size("lw") - size)).otherwise(F.array().cast("array<int>"))
         return F.transform(
-            F.filter(starts, passes),
+            F.filter(starts, lambda i: has(table, cells, _probe_key(F.col("lw"), i, size))),
             lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), folded(F.array_join(F.slice("w", i + 1, size), " ")).alias("gram")),
         )
 
-    maybe = scanned.select("id", F.explode(F.concat(*[hits(s) for s, _ in probes])).alias("h")).select("id", "h.*")
+    maybe = scanned.select("id", "th", F.explode(F.concat(*[hits(s) for s in tables])).alias("h")).select("id", "th", "h.*")
     maybe = maybe.withColumn("key", F.xxhash64("gram"))
     side = F.broadcast(grams) if sum(sizes.values()) <= BROADCAST_WINDOWS else grams
-    return maybe.join(side, ["key", "size", "gram"]).select("id", "at", "size", "items")
+    return maybe.join(side, ["key", "size", "gram"]).select("id", "th", "at", "size", "items")
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document that has a hit: id, n_hit, items (sorted), spans (array of struct<at, size>, merged).
+    """Per document that has a hit: id, th, n_hit, items (sorted), spans (array of struct<at, size>, merged).
 
-    Words inside any occurrence of any window count once.  Documents of equal
-    id must be equal rows; null ids are matched with each other.  Rows without
-    a hit are absent; without benchmark words, or documents, it is empty.
+    Words inside any occurrence of any window count once.  A document is known
+    by its id and its text's hash ``th``, so rows of one id and other texts
+    stay apart, equal rows and null ids meet.  Rows without a hit are absent;
+    without benchmark words, or documents, it is empty.
     """
     grams = stored(windows(benchmark, n), "windows")
     found = scan(docs, grams, id_col=id_col, text_col=text_col)
-    per = found.groupBy("id").agg(
+    per = found.groupBy("id", "th").agg(
         F.sort_array(F.collect_set(F.struct("at", "size"))).alias("occ"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -137,7 +109,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str =
                 o["at"].alias("lo"), (o["at"] + o["size"]).alias("hi"))),
         lambda s: F.concat(s["out"], F.array(F.struct(s["lo"].alias("at"), (s["hi"] - s["lo"]).alias("size")))),
     )
-    return per.select("id", merged.alias("spans"), "items").withColumn(
+    return per.select("id", "th", merged.alias("spans"), "items").withColumn(
         "n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["size"]))
 
 
@@ -146,20 +118,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, drop_sh
 
     Keeps the columns of ``docs``.  A clean document keeps its text to the
     byte; in a cut one every maximal run of hit words goes, with what stands
-    between its words, and the rest stays in place.  Null and empty texts are
-    clean.
+    between its words, and the rest, what stands before and after the run
+    included, stays in place.  Null and empty texts are clean.
     """
-    hit = flagged(docs, benchmark, n=n, id_col=id_col, text_col=text_col).select(F.col("id").alias("_id"), F.col("spans").alias("_spans"), F.col("n_hit").alias("_n"))
-    text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    # each word with the break before it; breaks and words alternate, so joining pieces restores the text
+    hit = flagged(docs, benchmark, n=n, id_col=id_col, text_col=text_col).select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"), F.col("n_hit").alias("_n"))
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    text, key = F.col("d")[text_col], F.col("d")[id_col]
+    # each word with the break before it; the pieces and the tail restore the text
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
     tail = F.regexp_extract(text, r"(?s)([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)$", 1)
     gone = lambda i: F.exists("_spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["size"]))
-    cut = F.concat(F.array_join(F.filter(pieces, lambda p, i: ~gone(i)), ""), tail)
-    out = docs.join(hit, key.eqNullSafe(F.col("_id")), "left")
+    before = lambda p: F.regexp_extract(p, r"(?s)^([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)", 1)
+    left = F.transform(pieces, lambda p, i: F.when(~gone(i), p).when(~gone(i - 1), before(p)).otherwise(F.lit("")))
+    cut = F.concat(F.array_join(left, ""), tail)
+    out = body.join(hit, key.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
     out = out.where(F.col("_n").isNull() | (F.col("_n") < F.lit(drop_share) * F.size(words(text))))
-    cols = [F.when(F.col("_n").isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    return out.select(*[F.when(F.col("_n").isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col("d")[c].alias(c) for c in docs.columns])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,8 +141,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = flagged(docs, bench, n=10)
-    sizes = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = sizes.join(hit, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("t"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = sizes.join(hit, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("th")), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select(

@@ -9,7 +9,7 @@ the number of words taken, until they are 0 or 1.
 
 Flights run in blocks of bounded size (a hot source has many blocks); each
 leaves two documents at most undecided, and those meet in blocks of the next
-level until one block per source is left.  There a dozen documents of all sizes are
+level until one block per source is left.  There a dozen documents of halving sizes are
 kept from the flight and landed with the last two by the rounding, of all, that
 misses the words least.
 """
@@ -105,11 +105,15 @@ def _fly(seed: int, last: bool):
         rng = random.Random(f"{seed}:{int(key[0])}:{int(key[1])}")
         p, size = pdf["p"].to_numpy().copy(), pdf["size"].to_numpy().astype(float)
         flies = np.ones(len(p), bool)
-        if last:
-            # documents of all sizes wait for the landing, so that it can mend what the flight leaves
-            open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-            by_size = open_[np.argsort(size[open_], kind="stable")]
-            flies[by_size[np.unique(np.linspace(0, max(len(by_size) - 1, 0), LANDED).astype(int))] if len(by_size) else []] = False
+        if last or int(key[1]) == 0:
+            # a source's first block and its last keep documents of halving sizes for the landing: their sums can mend
+            # whatever the flight leaves
+            open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS)).tolist()
+            goal = max((size[i] for i in open_), default=0.0)
+            for _ in range(min(LANDED, len(open_))):
+                k = min(range(len(open_)), key=lambda j: (abs(size[open_[j]] - goal), j))
+                flies[open_.pop(k)] = False
+                goal /= 2
         p[flies] = flight(p[flies], size[flies], rng)
         p[p <= EPS], p[p >= 1 - EPS] = 0.0, 1.0
         pdf["p"] = landing(p, size) if last else p

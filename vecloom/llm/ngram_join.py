@@ -8,8 +8,8 @@
    The grams known as common are as many as a fixed bound allows.
 3. Two sets can only link if they share a gram in their prefixes.  Each set
    posts its prefix grams; the length filter, the positional filter and the
-   suffix filter (a lower bound of the difference from counts in 32 hash
-   ranges) drop pairs.
+   suffix filter (a lower bound of the sets' difference from the parities of
+   their counts in 512 cells) drop pairs.
 4. Within a gram's postings neighbours are paired in a few orders, verified,
    and joined to components.  Then every pair that still lies in two different
    components is generated and verified.  Pairs inside one component need no
@@ -39,13 +39,13 @@ MOST_COMMON = 400_000
 #: A gram in fewer sets is never called common.
 LEAST_COMMON = 8
 #: Grams per bucket of the count, and texts' grams counted at once by a worker.
-BUCKET_GRAMS, COUNTED = 1 << 20, 1 << 21
+BUCKET_GRAMS, COUNTED = 1 << 19, 1 << 20
 #: Rows per Arrow batch sent to Python: texts can be long.
 BATCH_ROWS = "400"
 
-#: Sketches of a set for the suffix filter: 32 counts of a byte each, and the parities of 512 counts.
-COUNTS, PARITIES = [f"h{k}" for k in range(4)], [f"g{k}" for k in range(8)]
-SETS = "doc_id long, n int, s1 long, s2 long, " + ", ".join(f"{c} long" for c in COUNTS + PARITIES)
+#: A set's sketch for the suffix filter: the parities of its counts in 512 cells.
+PARITIES = [f"g{k}" for k in range(8)]
+SETS = "doc_id long, n int, s1 long, s2 long, " + ", ".join(f"{c} long" for c in PARITIES)
 #: Neighbours paired in an order of a gram's postings, and the number of random orders.
 REACH, ORDERS = 3, 3
 
@@ -71,14 +71,12 @@ def _set_rows(width: int):
                 s1 = _per_text(grams, bound, mixed(grams ^ np.uint64(0x5851F42D4C957F2D)), np.add)
                 s2 = _per_text(grams, bound, mixed(grams + np.uint64(0x14057B7EF767814F)), np.bitwise_xor)
                 text = np.repeat(np.arange(j - i), n)
-                cells = np.bincount(text * 32 + (grams >> np.uint64(59)).astype(np.int64), minlength=32 * (j - i))
-                h = np.minimum(cells, 255).astype(np.uint8).reshape(-1, 32).view(np.int64)
                 odd = np.bincount(text * 512 + (grams >> np.uint64(3) & np.uint64(511)).astype(np.int64), minlength=512 * (j - i)) & 1
                 g = np.packbits(odd.astype(np.uint8).reshape(-1, 512), axis=1).view(np.int64)
                 yield pa.record_batch(
                     [ids.slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                     *(pa.array(np.ascontiguousarray(x[:, k])) for x in (h, g) for k in range(x.shape[1]))],
-                    ["doc_id", "n", "s1", "s2", *COUNTS, *PARITIES])
+                     *(pa.array(np.ascontiguousarray(g[:, k])) for k in range(8))],
+                    ["doc_id", "n", "s1", "s2", *PARITIES])
 
     return rows
 
@@ -156,7 +154,7 @@ def _merge_counts(bits: int, least: int):
 def common_grams(docs: DataFrame, width: int, total: int) -> DataFrame:
     """(key, df) of grams in LEAST_COMMON sets or more, counted over all documents."""
     bits = 6
-    while total >> bits > BUCKET_GRAMS and bits < 24:
+    while total >> bits > BUCKET_GRAMS and bits < 30:
         bits += 1
     rows = docs.select("text").mapInArrow(_count_rows(width, bits), "bucket int, keys binary, counts binary")
     return stored(rows.groupBy("bucket").applyInPandas(_merge_counts(bits, LEAST_COMMON), "key long, df long"), "grams")
@@ -244,18 +242,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
 
 
 def _difference(a: Column, b: Column) -> Column:
-    """Lower bound of the sets' symmetric difference: it is no less than the
-    counts' differences in the 32 ranges, nor than the number of the 512 cells
-    whose parities differ.  The first tells long texts apart, the second short
-    ones."""
-    total = F.lit(0)
-    for k in COUNTS:
-        for s in range(0, 64, 8):
-            total = total + F.abs(F.shiftright(a[k], s).bitwiseAND(F.lit(255)) - F.shiftright(b[k], s).bitwiseAND(F.lit(255)))
+    """Lower bound of the sets' symmetric difference: a cell's parities differ
+    only if one set has a gram there that the other hasn't.  It tells sets of
+    up to some 1,500 grams apart; longer ones pass it."""
     odd = F.lit(0)
     for k in PARITIES:
         odd = odd + F.bit_count(a[k].bitwiseXOR(b[k]))
-    return F.greatest(total, odd.cast("long"))
+    return odd
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +268,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     sets = stored(docs.mapInArrow(_set_rows(width), SETS), "sets")
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     same = ["s1", "s2", "n"]
-    reps = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in COUNTS + PARITIES])
+    reps = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in PARITIES])
     reps = stored(reps, "reps")
 
     grams = common_grams(docs, width, total)
@@ -285,7 +278,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     near = posts.select("*", F.lag("sid").over(in_order).alias("before"), F.lead("sid").over(in_order).alias("after"))
     # a run of one set (exact copies in several shares post it again) keeps its ends next to other sets only
     near = near.where("before <> sid or after <> sid")
-    info = reps.select(F.col("s1").alias("sid"), "rep", *COUNTS, *PARITIES)
+    info = reps.select(F.col("s1").alias("sid"), "rep", *PARITIES)
     shared = stored(near.select("gram", "sid", "n", "pos"), "shared").distinct()
     shared = stored(shared.join(info, "sid"), "postings")
 
@@ -310,16 +303,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
             me = F.struct("x", "comp")
             near = posted.select(me.alias("b"), F.array(*[F.lag(me, k).over(w) for k in range(1, REACH + 1)]).alias("as_"))
             pair = near.select(F.col("b.x").alias("b"), F.col("b.comp").alias("b_comp"), F.explode("as_").alias("a")).where("a is not null and a.comp <> b_comp")
-            pair = pair.select(F.col("a.x").alias("a"), "b")
-            a, b = F.col("a"), F.col("b")
-            pair = pair.where(((a["n"] <= b["n"]) & may_link(a, b)) | ((a["n"] > b["n"]) & may_link(b, a)))
+            first, second = F.col("a.x"), F.col("b")
+            up = first["n"] <= second["n"]
+            pair = pair.select(F.when(up, first).otherwise(second).alias("a"), F.when(up, second).otherwise(first).alias("b"))
+            pair = pair.where(may_link(F.col("a"), F.col("b")))
             out = pair if out is None else out.unionByName(pair)
         return pairs_of(out)
 
     def by_hash(k: int) -> list:
         return [F.xxhash64("x.rep", F.lit(k))]
 
-    whole = F.struct("rep", "n", "pos", *COUNTS, *PARITIES)
+    whole = F.struct("rep", "n", "pos", *PARITIES)
     placed, links, roots = shared.select("gram", whole.alias("x"), F.col("rep").alias("comp")), None, None
     # a second look at what the first left apart joins most of a large group before all its pairs are tried
     for orders in ([["x.n", "x.rep"], *(by_hash(k) for k in range(ORDERS))], [by_hash(k) for k in range(ORDERS, 2 * ORDERS)]):
@@ -347,10 +341,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """Documents that are the smallest id of their component, with all their columns."""
+    """Documents that are the smallest id of their component, with all their columns; rows without an id stay."""
     id_col = how.get("id_col", "doc_id")
     found = near_duplicates(docs, **how).where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_kept"), "left_semi")
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    key = F.col("d")[id_col]
+    kept = body.where(key.isNotNull()).join(found, key == F.col("_kept"), "left_semi")
+    return kept.unionByName(body.where(key.isNull())).select("d.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

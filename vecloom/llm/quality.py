@@ -24,7 +24,7 @@ from .labelled import gathered, remainder, sample
 from .textkernels import SPACES, WordHasher, break_table, pieces, utf8
 
 #: Bounds of the labelled sample, by label.
-PER_CLASS = (1500, 2000)
+PER_CLASS = (1000, 1500)
 DIMS, NEIGHBOURS, POWER, BLOCK = 48, 15, 6, 1024
 CLASSES = 48
 
@@ -84,10 +84,13 @@ class Voters:
     labels: np.ndarray
     votes: np.ndarray
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        z = (x * self.weights) @ self.basis
+    @staticmethod
+    def place(z: np.ndarray) -> np.ndarray:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
+    def project(self, x: np.ndarray) -> np.ndarray:
+        return self.place((x * self.weights) @ self.basis)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.project(x)
         k = min(NEIGHBOURS, len(self.vectors))
@@ -114,18 +117,18 @@ def fit(rows: list, share: float) -> Voters:
     df = (x > 0).mean(0)
     weights = np.log1p(1 / np.maximum(df, 1 / len(x))).astype(np.float32)
     weights[-4:] = 2, 1, 1, 1
-    xw = x * weights
+    x *= weights
     rng = np.random.default_rng(8)
     dims = min(DIMS, len(x))
-    q = np.linalg.qr(xw @ rng.standard_normal((xw.shape[1], dims + 8)).astype(np.float32))[0]
+    q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], dims + 8)).astype(np.float32))[0]
     for _ in range(3):
-        q = np.linalg.qr(xw @ (xw.T @ q))[0]
-    _, _, v = np.linalg.svd(q.T @ xw, full_matrices=False)
+        q = np.linalg.qr(x @ (x.T @ q))[0]
+    _, _, v = np.linalg.svd(q.T @ x, full_matrices=False)
     basis = np.ascontiguousarray(v[:dims].T).astype(np.float32)
     part = np.array([max(np.mean(y == c), 1e-9) for c in (0, 1)])
     votes = np.where(y == 1, share / part[1], (1 - share) / part[0])
     voters = Voters(weights, basis, np.zeros((0, dims), np.float32), y, votes)
-    voters.vectors = voters.project(x).astype(np.float32)
+    voters.vectors = voters.place(x @ basis).astype(np.float32)
     return voters
 
 
@@ -159,7 +162,7 @@ def score_quality(docs: DataFrame, voters: Voters, *, text_col: str = "text", ou
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, profile = shared.value, Profile()
         for batch in batches:
-            parts = [model.score(profile.rows(data, own)) for _, _, data, own in pieces(*utf8(batch.column(at)), 1 << 19)]
+            parts = [model.score(profile.rows(data, own)) for _, _, data, own in pieces(*utf8(batch.column(at)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*batch.schema.names, out])
 
     body = docs.select(*[F.col(f"`{c}`") for c in kept])
@@ -169,7 +172,8 @@ def score_quality(docs: DataFrame, voters: Voters, *, text_col: str = "text", ou
 def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.7) -> DataFrame:
     """Documents scored ``least`` or more, with their columns."""
     voters = fit_quality(docs, labels, remainder(F.col("doc_id"), 4) != 2)
-    return score_quality(docs, voters, out="_score").where(F.col("_score") >= least).drop("_score")
+    name = "score" + "_" * max(map(len, docs.columns))
+    return score_quality(docs, voters, out=name).where(F.col(name) >= least).drop(name)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,5 +182,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     voters = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(F.col("doc_id"), 4) != 2)
     scored = score_quality(docs, voters)
     return scored.select(
-        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        "doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; a longer text is one piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 MASK = (1 << 64) - 1
 
 

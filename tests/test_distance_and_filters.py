@@ -143,3 +143,13 @@ def test_struct_filter_reaches_the_scan(spark, tmp_path):
     plan = apply_filter(spark.read.parquet(str(tmp_path / "t")), {"field": "year", "op": "gt", "value": 5})._jdf.queryExecution().executedPlan().toString()
     assert "metadata.year" in plan.split("PushedFilters")[1].split("]")[0]
     assert as_vector([1, 2]) is not None and distance(F.array(F.lit(1.0)), F.array(F.lit(1.0))) is not None
+
+
+def test_embedding_from_a_model(spark):
+    from vecloom.functions.embedding import with_embedding
+
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "i int, t string")
+    got = {r["i"]: r["embedding"] for r in with_embedding(df, lambda: lambda xs: [[len(x), 1.0] for x in xs], 2, input_col="t").collect()}
+    assert got == {1: [2.0, 1.0], 2: None, 3: [0.0, 1.0]}
+    with pytest.raises(Exception, match="another length"):
+        with_embedding(df, lambda: lambda xs: [[1.0] for _ in xs], 2, input_col="t").collect()

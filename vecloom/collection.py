@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.distance import as_vector, check_metric, distance
+from .functions.distance import as_vector, check_metric, distance, literal_norm
 from .functions.hashing import PARTITIONS, partition_of, partition_of_id
 from .functions.predicates import apply_filter, compile_filter
 from .operators import ann, knn, ring, stats
@@ -155,7 +155,7 @@ class Collection:
             found = self.search_batch(one, k, ef=ef).drop("query_id", "rank")
             near = found.join(rows.select("vector_id", "metadata", "partition_id"), "vector_id")
         else:
-            near = apply_filter(rows, where).select("vector_id", distance(F.col("embedding"), as_vector(query), self.metric).alias("distance"), "metadata", "partition_id")
+            near = apply_filter(rows, where).select("vector_id", distance(F.col("embedding"), as_vector(query), self.metric, literal_norm(query)).alias("distance"), "metadata", "partition_id")
         return near.withColumn("source_node", ring.owner_of(F.col("partition_id"), self.nodes)).orderBy("distance", "vector_id").limit(k)
 
     def search_batch(self, queries: DataFrame, k: int = 10, *, where: Any = None, ef: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +44,17 @@ def squared_norm(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    norms = F.sqrt(squared_norm(a) * squared_norm(b))
+def literal_norm(vector: Sequence[float]) -> Column:
+    """Squared norm of a literal vector, computed once on the driver from its float32 values."""
+    total = 0.0
+    for x in np.asarray(vector, np.float32).tolist():
+        total += x * x
+    return F.lit(total)
+
+
+def cosine(a: Column, b: Column, b_norm: Column | None = None) -> Column:
+    """Cosine distance; ``b_norm`` is b's squared norm where it is known, so that it isn't computed again for every row."""
+    norms = F.sqrt(squared_norm(a) * (squared_norm(b) if b_norm is None else b_norm))
     return F.when(norms == 0, F.lit(1.0)).otherwise(F.lit(1.0) - dot(a, b) / norms)
 
 
@@ -52,6 +62,8 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))))
 
 
-def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
+def distance(a: Column, b: Column, metric: str = "cosine", b_norm: Column | None = None) -> Column:
     """Distance of two array columns; ``ValueError`` for an unknown metric."""
-    return {"cosine": cosine, "euclidean": euclidean, "dot": lambda x, y: -dot(x, y)}[check_metric(metric)](a, b)
+    if check_metric(metric) == "cosine":
+        return cosine(a, b, b_norm)
+    return euclidean(a, b) if metric == "euclidean" else -dot(a, b)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.distance import as_vector, check_metric, distance
+from ..functions.distance import as_vector, check_metric, distance, literal_norm, squared_norm
 from ..functions.hashing import PARTITIONS, partition_of
 from ..functions.predicates import apply_filter
 from .ring import owner_of
@@ -54,7 +54,7 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = 10, *, metric: s
     check_k(k)
     check_metric(metric)
     rows = apply_filter(vectors, where, metadata).where(F.col(col).isNotNull())
-    near = rows.select(id_col, distance(F.col(col), as_vector(query), metric).alias("distance"), *keep)
+    near = rows.select(id_col, distance(F.col(col), as_vector(query), metric, literal_norm(query)).alias("distance"), *keep)
     return near.orderBy("distance", id_col).limit(k)
 
 
@@ -62,9 +62,9 @@ def search_by_id(vectors: DataFrame, query_id: Any, k: int = 10, *, metric: str
                  where: Any = None, metadata: str | None = None) -> DataFrame:
     """Neighbours of a stored vector, itself included; the query is one broadcast row.  An unknown id has none."""
     check_k(k)
-    one = vectors.where(F.col(id_col) == F.lit(query_id)).select(F.col(col).alias("_q")).limit(1)
+    one = vectors.where(F.col(id_col) == F.lit(query_id)).select(F.col(col).alias("_q"), squared_norm(F.col(col)).alias("_qn")).limit(1)
     rows = apply_filter(vectors, where, metadata).where(F.col(col).isNotNull())
-    near = rows.join(F.broadcast(one)).select(id_col, distance(F.col(col), F.col("_q"), metric).alias("distance"))
+    near = rows.join(F.broadcast(one)).select(id_col, distance(F.col(col), F.col("_q"), metric, F.col("_qn")).alias("distance"))
     return near.orderBy("distance", id_col).limit(k)
 
 
@@ -87,8 +87,8 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric:
     if queries.limit(many + 1).count() > many:
         return search_matrix(vectors, queries, k, metric=metric, id_col=id_col, col=col, query_id=query_id, query_col=query_col, where=where, metadata=metadata)
     rows = apply_filter(vectors, where, metadata).where(F.col(col).isNotNull()).select(id_col, F.col(col).alias("_v"))
-    asked = queries.where(F.col(query_col).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_col).alias("_q"))
-    near = rows.join(F.broadcast(asked)).select("query_id", id_col, distance(F.col("_v"), F.col("_q"), metric).alias("distance"))
+    asked = queries.where(F.col(query_col).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_col).alias("_q"), squared_norm(F.col(query_col)).alias("_qn"))
+    near = rows.join(F.broadcast(asked)).select("query_id", id_col, distance(F.col("_v"), F.col("_q"), metric, F.col("_qn")).alias("distance"))
     return _top(near, ["query_id"], k, id_col)
 
 

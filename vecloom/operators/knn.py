@@ -127,22 +127,35 @@ def search_matrix(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            best_d, best_v = [np.zeros(0)] * len(q), [np.zeros(0, object)] * len(q)
+
+            def best(parts: list[tuple]) -> tuple:
+                """The k nearest of each query among the gathered (query, distance, id)."""
+                of, dist, who = (np.concatenate(c) for c in zip(*parts))
+                order = np.lexsort((who, dist, of))
+                of, dist, who = of[order], dist[order], who[order]
+                keep = np.arange(len(of)) - np.searchsorted(of, of) < k
+                return of[keep], dist[keep], who[keep]
+
+            parts, held = [], 0
             for batch in batches:
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                v = flat.reshape(len(batch), -1).astype(np.float64) if len(batch) else np.zeros((0, q.shape[1]))
-                own = np.array(batch.column(0).to_pylist(), object)
+                if not len(batch):
+                    continue
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1).astype(np.float64)
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                own = own.astype(str) if own.dtype == object else own
                 for a in range(0, len(v), block):
                     d = _block_distances(v[a:a + block], q, metric)
-                    cut = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                    for i in range(len(q)):
-                        pick = np.flatnonzero(d[i] <= cut[i])
-                        dist, who = np.concatenate([best_d[i], d[i][pick]]), np.concatenate([best_v[i], own[a:a + block][pick]])
-                        order = sorted(range(len(dist)), key=lambda t: (dist[t], who[t]))[:k]
-                        best_d[i], best_v[i] = dist[order], who[order]
-            for i, name in enumerate(names):
-                if len(best_d[i]):
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(([name] * len(best_d[i]), best_v[i].tolist(), best_d[i]), arrow.types)], schema=arrow)
+                    m = min(k, d.shape[1])
+                    # ties with the last one stay until ids decide
+                    of, at = np.nonzero(d <= np.partition(d, m - 1, axis=1)[:, m - 1:m])
+                    parts.append((of, d[of, at], own[a + at]))
+                    held += len(of)
+                    if held > 16 * k * len(q):
+                        parts = [best(parts)]
+                        held = len(parts[0][0])
+            if parts:
+                of, dist, who = best(parts)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(([names[i] for i in of], who.tolist(), dist), arrow.types)], schema=arrow)
 
         return rows.mapInArrow(near, schema)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +55,9 @@ def released(spark: SparkSession) -> None:
     instead of when the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def shared(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast an object of this package's classes: pickled by value, so that
+    workers need no package to read it.  They call ``pickle.loads`` on it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..workspace import stored
+from ..workspace import released, stored
 from .bits import build, has, table_size
 from .components import components
 from .textkernels import Shingler, mixed, pieces, utf8
@@ -272,6 +272,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     reps = stored(reps, "reps")
 
     grams = common_grams(docs, width, total)
+    released(spark)
     common = spark.sparkContext.broadcast(_ordered_common(grams))
     posts = docs.select("text").mapInArrow(_posting_rows(width, num, den, common), "gram long, sid long, n int, pos int")
     in_order = Window.partitionBy("gram").orderBy("n", "sid", "pos")
@@ -281,6 +282,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     info = reps.select(F.col("s1").alias("sid"), "rep", *PARITIES)
     shared = stored(near.select("gram", "sid", "n", "pos"), "shared").distinct()
     shared = stored(shared.join(info, "sid"), "postings")
+    released(spark)
 
     need = lambda a, b: F.ceil(F.lit(num) * (a["n"] + b["n"]).cast("long") / F.lit(float(num + den)) - F.lit(1e-9))
 
@@ -323,6 +325,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         placed = shared.join(roots, shared["rep"] == roots["u"], "left").select("gram", whole.alias("x"), F.coalesce("root", "rep").alias("comp"))
         mixed_up = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
         placed = stored(placed.join(mixed_up, "gram", "left_semi"), "placed")
+        released(spark)
     left = placed.select("gram", F.col("x").alias("a"), F.col("comp").alias("a_comp"))
     right = placed.select(F.col("gram").alias("b_gram"), F.col("x").alias("b"), F.col("comp").alias("b_comp"))
     a, b = F.col("a"), F.col("b")

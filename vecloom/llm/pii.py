@@ -12,6 +12,7 @@ out candidates for a stated precision and select the added spans.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import shared
 from .boosting import Boosted, calibrate, fit, least_score
 
 KINDS = ("email", "ip", "card", "phone", "account", "secret")
@@ -182,12 +184,12 @@ def find_pii(docs: DataFrame, selector: Selector, *, id_col: str = "doc_id", tex
     Null and empty texts have none.  Rows stay one for one; other columns are
     not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(selector)
+    sent = shared(docs.sparkSession, selector)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     body = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chooser = shared.value
+        chooser = pickle.loads(sent.value)
         for batch in batches:
             counts, base_out, spans_out = [[], [], [], []], [], []
             for text in batch.column(1).to_pylist():

@@ -11,6 +11,7 @@ weight, corrected for the sample's shares of the two labels.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import shared
 from .labelled import gathered, remainder, sample
 from .textkernels import SPACES, WordHasher, break_table, pieces, utf8
 
@@ -155,12 +157,12 @@ def score_quality(docs: DataFrame, voters: Voters, *, text_col: str = "text", ou
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
-    shared = spark.sparkContext.broadcast(voters)
+    sent = shared(spark, voters)
     kept = [c for c in docs.columns if c != out]
     at = kept.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, profile = shared.value, Profile()
+        model, profile = pickle.loads(sent.value), Profile()
         for batch in batches:
             parts = [model.score(profile.rows(data, own)) for _, _, data, own in pieces(*utf8(batch.column(at)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*batch.schema.names, out])

@@ -10,6 +10,7 @@ group don't raise the score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import shared
 from .labelled import gathered, remainder, sample
 from .textkernels import WordHasher, break_table, pieces, utf8
 
@@ -200,12 +202,12 @@ def score_toxicity(docs: DataFrame, model: Linear, *, text_col: str = "text", ou
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
-    shared = spark.sparkContext.broadcast(model)
+    sent = shared(spark, model)
     kept = [c for c in docs.columns if c != out]
     at = kept.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linear, vocabulary = shared.value, Vocabulary()
+        linear, vocabulary = pickle.loads(sent.value), Vocabulary()
         for batch in batches:
             parts = [linear.score(*vocabulary.words(data, own)) for _, _, data, own in pieces(*utf8(batch.column(at)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*batch.schema.names, out])

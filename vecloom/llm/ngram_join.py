@@ -287,15 +287,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     need = lambda a, b: F.ceil(F.lit(num) * (a["n"] + b["n"]).cast("long") / F.lit(float(num + den)) - F.lit(1e-9))
 
     def may_link(a: Column, b: Column) -> Column:
-        """Length, positional and suffix filters for a pair of which ``a`` isn't the longer."""
+        """Length, positional and suffix filters for a pair of postings of one gram."""
         return (
-            (F.lit(den) * a["n"].cast("long") >= F.lit(num) * b["n"].cast("long"))
+            (F.lit(den) * F.least(a["n"], b["n"]).cast("long") >= F.lit(num) * F.greatest(a["n"], b["n"]).cast("long"))
             & (F.least(a["n"] - a["pos"], b["n"] - b["pos"]) >= need(a, b))
             & (_difference(a, b) <= a["n"] + b["n"] - 2 * need(a, b))
         )
 
     def pairs_of(df: DataFrame) -> DataFrame:
-        return df.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).where("u <> v").distinct()
+        return df.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct()
 
     def chains(posted: DataFrame, orders: list) -> DataFrame:
         """Pairs of near neighbours, of two components, in a gram's postings."""
@@ -303,14 +303,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         for order in orders:
             w = Window.partitionBy("gram").orderBy(*order)
             me = F.struct("x", "comp")
-            near = posted.select(me.alias("b"), F.array(*[F.lag(me, k).over(w) for k in range(1, REACH + 1)]).alias("as_"))
-            pair = near.select(F.col("b.x").alias("b"), F.col("b.comp").alias("b_comp"), F.explode("as_").alias("a")).where("a is not null and a.comp <> b_comp")
-            first, second = F.col("a.x"), F.col("b")
-            up = first["n"] <= second["n"]
-            pair = pair.select(F.when(up, first).otherwise(second).alias("a"), F.when(up, second).otherwise(first).alias("b"))
-            pair = pair.where(may_link(F.col("a"), F.col("b")))
+            near = posted.select(me.alias("b"), *[F.lag(me, k).over(w).alias(f"a{k}") for k in range(1, REACH + 1)])
+            b = F.col("b")
+            found = [F.when((F.col(f"a{k}")["comp"] != b["comp"]) & may_link(F.col(f"a{k}")["x"], b["x"]), F.col(f"a{k}")["x"]["rep"]) for k in range(1, REACH + 1)]
+            near = near.select(b["x"]["rep"].alias("v"), *[f.alias(f"u{k}") for k, f in enumerate(found)])
+            near = near.where(F.coalesce(*[F.col(f"u{k}") for k in range(REACH)]).isNotNull())
+            pair = near.select(F.explode(F.array(*[F.col(f"u{k}") for k in range(REACH)])).alias("u"), "v").where("u is not null")
             out = pair if out is None else out.unionByName(pair)
-        return pairs_of(out)
+        return pairs_of(out.select(F.col("u").alias("x"), F.col("v").alias("y")))
 
     def by_hash(k: int) -> list:
         return [F.xxhash64("x.rep", F.lit(k))]
@@ -331,7 +331,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     a, b = F.col("a"), F.col("b")
     first_half = a["pos"] < a["n"] - F.ceil(F.lit(2 * num) * a["n"].cast("long") / F.lit(float(num + den)) - F.lit(1e-9)) + 1
     ordered = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["rep"] < b["rep"]))
-    rest = pairs_of(left.join(right, (F.col("gram") == F.col("b_gram")) & ordered & (F.col("a_comp") != F.col("b_comp")) & first_half & may_link(a, b)))
+    apart = left.join(right, (F.col("gram") == F.col("b_gram")) & ordered & (F.col("a_comp") != F.col("b_comp")) & first_half & may_link(a, b))
+    rest = pairs_of(apart.select(a["rep"].alias("x"), b["rep"].alias("y")))
     more = _verified(rest, docs, width, num, den)
     if not more.isEmpty():
         roots = components(links.unionByName(more))

@@ -14,7 +14,7 @@ from .functions.distance import as_vector, check_metric, distance, literal_norm
 from .functions.hashing import PARTITIONS, partition_of, partition_of_id
 from .functions.predicates import apply_filter, compile_filter
 from .operators import ann, knn, ring, stats
-from .operators.changes import DELETE, INSERT
+from .operators.changes import DELETE, INSERT, live
 from .sources.store import Store
 
 
@@ -102,8 +102,8 @@ class Collection:
 
     def delete_many(self, ids: DataFrame) -> int:
         """Delete the ids (column vector_id) that exist; returns how many did."""
-        have = self.scan().select("vector_id")
-        gone = ids.select(F.col("vector_id").cast("string")).distinct().join(have, "vector_id", "left_semi")
+        asked = ids.select(F.col("vector_id").cast("string")).distinct()
+        gone = live(self.store.entries().join(asked, "vector_id", "left_semi"))
         rows = gone.select("vector_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast(self.store.metadata).alias("metadata"), F.lit(0).alias("_order"))
         return self._append(rows, DELETE)
 
@@ -199,8 +199,7 @@ class Collection:
 
     def export_partition(self, partition_id: int) -> tuple[DataFrame, int]:
         """A partition's live rows and its version; no rows and 0 for an unknown or empty one."""
-        entries = self.store.entries().where(F.col("partition_id") == partition_id)
-        version = entries.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        version = self.store.versions().where(F.col("partition_id") == partition_id).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
         return self.scan().where(F.col("partition_id") == partition_id), version
 
     def rebuild_partition(self, partition_id: int) -> bool:

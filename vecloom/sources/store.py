@@ -1,8 +1,13 @@
 """A collection's tables in a folder: log segments and snapshots.
 
 * ``log/seg=N`` holds one append each, written by one atomic job.
-* ``snapshot/upto=N`` holds the live rows after segments 1 to N, and each
-  partition's version, tombstoned ids gone.
+* ``versions/seg=N`` holds each partition's version after segment N: a row a
+  partition, so that an append needs no look at the data.
+* ``snapshot/upto=N`` holds the live rows after segments 1 to N, one for each
+  id, tombstoned ids gone.
+
+A reader takes the newest snapshot as it is, without the rows that the log
+after it has written anew, and only that log is replayed.
 
 A directory counts once its job's ``_SUCCESS`` is there, so a crash in the
 middle of a write leaves nothing half visible, and a snapshot always has every
@@ -61,6 +66,7 @@ class Store:
         """Write rows of the log's schema as the next segment; returns its number."""
         n = max([0, *self.segments(), *self.snapshots()]) + 1
         rows.select(*self.schema().names).write.mode("overwrite").parquet(f"{self.path}/log/seg={n}")
+        self.versions().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/seg={n}")
         return n
 
     def log(self, after: int = 0) -> DataFrame:
@@ -73,17 +79,28 @@ class Store:
         return upto, self._read([f"{self.path}/snapshot/upto={upto}"] if done else [])
 
     def entries(self) -> DataFrame:
-        """The newest snapshot's rows and the log after it; partition markers have a null id."""
+        """The newest snapshot's rows and the log after it."""
         upto, base = self._base()
         return base.unionByName(self.log(upto))
 
     def state(self) -> DataFrame:
         """Live rows: what a reader sees, and what a restart recovers."""
-        return live(self.entries().where(F.col("vector_id").isNotNull()))
+        upto, base = self._base()
+        if not [n for n in self.segments() if n > upto]:
+            return base
+        tail = self.log(upto)
+        kept = base.join(tail.select("vector_id"), "vector_id", "left_anti").select(*self.schema().names)
+        return kept.unionByName(live(tail))
 
     def versions(self) -> DataFrame:
-        """partition_id, version reached."""
-        return self.entries().groupBy("partition_id").agg(F.max("version").alias("version"))
+        """partition_id, version reached: the newest finished table, and the log that a crash left after it."""
+        done = self._done("versions", "seg")
+        known = done[-1] if done else 0
+        later = self.log(known).groupBy("partition_id").agg(F.max("version").alias("version"))
+        if not done:
+            return later
+        table = self.spark.read.schema("partition_id int, version long").parquet(f"{self.path}/versions/seg={known}")
+        return table.unionByName(later).groupBy("partition_id").agg(F.max("version").alias("version"))
 
     def entries_since_snapshot(self) -> int:
         return self.log(self._base()[0]).count()
@@ -94,17 +111,16 @@ class Store:
         upto = max(segments, default=0)
         if not segments or upto in self.snapshots():
             return None
-        # a marker keeps a partition's version when its last write was a delete
-        marks = self.versions().select("partition_id", "version", F.lit("mark").alias("op"), F.lit(None).cast("string").alias("vector_id"),
-                                       F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast(self.metadata).alias("metadata"))
-        rows = self.state().unionByName(marks)
-        rows.repartition("partition_id").sortWithinPartitions("partition_id", "vector_id").write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={upto}")
+        self.state().repartition("partition_id").sortWithinPartitions("partition_id", "vector_id").write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={upto}")
+        if upto not in self._done("versions", "seg"):
+            self.versions().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/seg={upto}")
         self._remove(upto)
         return upto
 
     def _remove(self, upto: int) -> None:
         jvm = self.spark.sparkContext._jvm
         old = [f"log/seg={n}" for n in self.segments() if n <= upto] + [f"snapshot/upto={n}" for n in self.snapshots() if n < upto]
+        old += [f"versions/seg={n}" for n in self._done("versions", "seg")[:-1]]
         for name in old:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

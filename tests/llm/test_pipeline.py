@@ -25,6 +25,7 @@ def test_each_stage_takes_effect(spark, sf):
     classes = {r["component_id"] for r in near_duplicates(good, width=5, num=80).collect()}
     assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == classes
     clean = stages["decontamination"](spark, one, sf).cache()
+    assert all(r["n_chars"] == len(r["text"]) for r in clean.collect())
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     before, after = {r["doc_id"]: r["text"] for r in one.collect()}, {r["doc_id"]: r["text"] for r in clean.collect()}
     for i, text in before.items():

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..workspace import released, stored
 from .bits import build, has, table_size
 from .components import components
-from .textkernels import Shingler, mixed, pieces, utf8
+from .textkernels import Shingler, mixed, pieces, trim, utf8
 
 #: Grams that the order knows as common, at most (a bound of the broadcast).
 MOST_COMMON = 400_000
@@ -129,6 +129,8 @@ def _count_rows(width: int, bits: int):
                     parts, held = [], 0
         if held:
             yield flush(parts)
+            del parts
+        trim()
 
     return rows
 
@@ -202,6 +204,7 @@ def _posting_rows(width: int, num: int, den: int, common):
                 yield pa.record_batch(
                     [pa.array(grams[take].view(np.int64)), pa.array(sid[text[take]].view(np.int64)),
                      pa.array(n[text[take]].astype(np.int32)), pa.array(pos[take].astype(np.int32))], ["gram", "sid", "n", "pos"])
+        trim()
 
     return rows
 
@@ -224,6 +227,7 @@ def _verify_rows(width: int, num: int, den: int):
                 hit[k] = len(x) > 0 and den * shared >= num * (len(x) + len(y) - shared)
             keep = pa.array(hit)
             yield pa.record_batch([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
+        trim()
 
     return rows
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..workspace import shared
 from .labelled import gathered, remainder, sample
-from .textkernels import SPACES, WordHasher, break_table, pieces, utf8
+from .textkernels import SPACES, WordHasher, break_table, pieces, trim, utf8
 
 #: Bounds of the labelled sample, by label.
 PER_CLASS = (1000, 1500)
@@ -166,6 +166,7 @@ def score_quality(docs: DataFrame, voters: Voters, *, text_col: str = "text", ou
         for batch in batches:
             parts = [model.score(profile.rows(data, own)) for _, _, data, own in pieces(*utf8(batch.column(at)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*batch.schema.names, out])
+        trim()
 
     body = docs.select(*[F.col(f"`{c}`") for c in kept])
     return body.mapInArrow(rows, T.StructType([*body.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -24,17 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workspace import fresh_path, stored
-from .textkernels import WordHasher, pieces, utf8
+from .textkernels import WordHasher, pieces, trim, utf8
 
 LENGTH, END_ID = 2048, 2
 #: Sequences in a record batch.
 BATCH = 64
 #: Distinct pieces a worker remembers (about 60 bytes each).
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 SPACED = re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
@@ -326,6 +326,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, base: str | None = None,
             files.move(tmp, f"{folder}/{name}.arrow")
             files.move(tmp + ".docs", f"{folder}/{name}.docs.arrow")
             yield pa.record_batch([pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "docs", "tokens"])
+        trim()
 
     body = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -346,12 +347,10 @@ def read_documents(base: str, manifest: DataFrame) -> DataFrame:
 
     ``start`` counts the ids of all documents before it, in all shards.
     """
-    spark = manifest.sparkSession
-    sizes = sorted((r["shard"], r["tokens"]) for r in manifest.select("shard", "tokens").collect())
-    offsets = np.cumsum([0] + [t for _, t in sizes]).tolist()
-    shards = spark.createDataFrame([(s, o) for (s, _), o in zip(sizes, offsets)], "shard string, start long")
-    if sizes:
-        shards = shards.repartition(len(sizes))
+    # a row a shard: the window's one task has as many rows as there are files
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long").alias("start"))
+    shards = shards.repartition(max(1, manifest.count()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

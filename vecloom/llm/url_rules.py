@@ -15,6 +15,7 @@ borders (two per rule) go to each lane.  Nothing is collected.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,7 +50,8 @@ def host_key(host: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """Rules as rows: rule, verdict, host, path."""
-    df = spark.createDataFrame([(v, r) for v, r in rules], "verdict string, rule string")
+    text = json.dumps([{"verdict": v, "rule": r} for v, r in rules])
+    df = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<verdict:string,rule:string>>")))
     at = F.locate("/", F.col("rule"))
     host = F.when(at > 0, F.expr("substring(rule, 1, locate('/', rule) - 1)")).otherwise(F.col("rule"))
     path = F.when(at > 0, F.expr("substring(rule, locate('/', rule))")).otherwise(F.lit(""))

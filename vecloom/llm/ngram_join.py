@@ -47,7 +47,7 @@ BATCH_ROWS = "400"
 PARITIES = [f"g{k}" for k in range(8)]
 SETS = "doc_id long, n int, s1 long, s2 long, " + ", ".join(f"{c} long" for c in PARITIES)
 #: Neighbours paired in an order of a gram's postings, and the number of random orders.
-REACH, ORDERS = 3, 3
+REACH, ORDERS = 2, 3
 
 
 def _per_text(grams: np.ndarray, bound: np.ndarray, values: np.ndarray, how: np.ufunc) -> np.ndarray:
@@ -307,14 +307,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
         for order in orders:
             w = Window.partitionBy("gram").orderBy(*order)
             me = F.struct("x", "comp")
-            near = posted.select(me.alias("b"), *[F.lag(me, k).over(w).alias(f"a{k}") for k in range(1, REACH + 1)])
-            b = F.col("b")
-            found = [F.when((F.col(f"a{k}")["comp"] != b["comp"]) & may_link(F.col(f"a{k}")["x"], b["x"]), F.col(f"a{k}")["x"]["rep"]) for k in range(1, REACH + 1)]
-            near = near.select(b["x"]["rep"].alias("v"), *[f.alias(f"u{k}") for k, f in enumerate(found)])
-            near = near.where(F.coalesce(*[F.col(f"u{k}") for k in range(REACH)]).isNotNull())
-            pair = near.select(F.explode(F.array(*[F.col(f"u{k}") for k in range(REACH)])).alias("u"), "v").where("u is not null")
+            near = posted.select(me.alias("b"), F.array(*[F.lag(me, k).over(w) for k in range(1, REACH + 1)]).alias("as_"))
+            # one filter after the explosion: written out for each neighbour it is too long for the JVM to compile
+            pair = near.select("b", F.explode("as_").alias("a")).where("a is not null and a.comp <> b.comp")
+            pair = pair.where(may_link(F.col("a.x"), F.col("b.x"))).select(F.col("a.x.rep").alias("x"), F.col("b.x.rep").alias("y"))
             out = pair if out is None else out.unionByName(pair)
-        return pairs_of(out.select(F.col("u").alias("x"), F.col("v").alias("y")))
+        return pairs_of(out)
 
     def by_hash(k: int) -> list:
         return [F.xxhash64("x.rep", F.lit(k))]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..collection import Collection
@@ -23,6 +23,8 @@ from ..streaming.ingest import ingest
 from ..workspace import fresh_path
 
 K, QUERIES = 10, 20
+#: Every so many ids asks for its neighbours in the queries over the whole query set.
+EACH = 20
 NODES = ("n-0", "n-1", "n-2")
 DIGITS = 6
 
@@ -31,8 +33,18 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet")
 
 
-def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return _embeddings(spark, d).where(F.col("vec_id") < QUERIES).select(F.col("vec_id").alias("query_id"), "embedding")
+def _is_first() -> Column:
+    """The query set of the first SQL: a few neighbouring ids."""
+    return F.col("vec_id") < QUERIES
+
+
+def _is_each() -> Column:
+    """The whole query set: every id that EACH divides."""
+    return F.col("vec_id") % EACH == 0
+
+
+def _queries(spark: SparkSession, d: str, asks: Callable[[], Column] = _is_first) -> DataFrame:
+    return _embeddings(spark, d).where(asks()).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def _first(spark: SparkSession, d: str) -> list[float]:
@@ -75,13 +87,16 @@ def _matching(spec):
     return query
 
 
-def _batch(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(knn.search_batch(_embeddings(spark, d), _queries(spark, d), K, id_col="vec_id"))
+def _batch(asks: Callable[[], Column] = _is_first):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return _rounded(knn.search_batch(_embeddings(spark, d), _queries(spark, d, asks), K, id_col="vec_id"))
+
+    return query
 
 
-def _matrix(metric: str = "cosine"):
+def _matrix(metric: str = "cosine", asks: Callable[[], Column] = _is_first):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return _rounded(knn.search_matrix(_embeddings(spark, d), _queries(spark, d), K, metric=metric, id_col="vec_id"))
+        return _rounded(knn.search_matrix(_embeddings(spark, d), _queries(spark, d, asks), K, metric=metric, id_col="vec_id"))
 
     return query
 
@@ -152,14 +167,17 @@ def _get(spark: SparkSession, d: str) -> DataFrame:
     return _embeddings(spark, d).where("vec_id = 7").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
 
 
-def _recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of searching each vector's own label only, against all rows."""
-    e, q = _embeddings(spark, d), _embeddings(spark, d).where(F.col("vec_id") < QUERIES)
-    exact = knn.search_batch(e, _queries(spark, d), K, id_col="vec_id")
-    near = e.join(F.broadcast(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), F.col("label"))), "label")
-    near = near.select("query_id", "vec_id", distance(F.col("embedding"), F.col("_q")).alias("distance"))
-    found = knn._top(near, ["query_id"], K, "vec_id")
-    return knn.recall_at_k(exact, found, K, id_col="vec_id").select("query_id", F.round("recall", DIGITS).alias("recall"))
+def _recall(asks: Callable[[], Column] = _is_first):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        """Recall of searching each vector's own label only, against all rows."""
+        e, q = _embeddings(spark, d), _embeddings(spark, d).where(asks())
+        exact = knn.search_batch(e, _queries(spark, d, asks), K, id_col="vec_id")
+        near = e.join(F.broadcast(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), F.col("label"))), "label")
+        near = near.select("query_id", "vec_id", distance(F.col("embedding"), F.col("_q")).alias("distance"))
+        found = knn._top(near, ["query_id"], K, "vec_id")
+        return knn.recall_at_k(exact, found, K, id_col="vec_id").select("query_id", F.round("recall", DIGITS).alias("recall"))
+
+    return query
 
 
 def _latency(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +190,7 @@ def _dim(spark: SparkSession, d: str) -> int:
 
 
 def _lsh(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ann.search_lsh(_embeddings(spark, d), _queries(spark, d), K, _dim(spark, d), id_col="vec_id"))
+    return _rounded(ann.search_lsh(_embeddings(spark, d), _queries(spark, d, _is_each), K, _dim(spark, d), id_col="vec_id"))
 
 
 def _graphs(spark: SparkSession, d: str) -> DataFrame:
@@ -180,12 +198,12 @@ def _graphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hnsw(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ann.search_graphs(_graphs(spark, d), _queries(spark, d), K, id_col="vec_id", ef=100))
+    return _rounded(ann.search_graphs(_graphs(spark, d), _queries(spark, d, _is_each), K, id_col="vec_id", ef=100))
 
 
 def _ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall at k of both approximate strategies; at least 0.9 on average is expected."""
-    exact = knn.search_batch(_embeddings(spark, d), _queries(spark, d), K, id_col="vec_id")
+    """Recall at k of both approximate strategies over the whole query set; at least 0.9 on average is expected."""
+    exact = knn.search_matrix(_embeddings(spark, d), _queries(spark, d, _is_each), K, id_col="vec_id")
     out = None
     for name, found in (("lsh", _lsh(spark, d)), ("hnsw", _hnsw(spark, d))):
         one = knn.recall_at_k(exact, found, K, id_col="vec_id").agg(F.avg("recall").alias("recall")).select(F.lit(name).alias("strategy"), "recall")
@@ -251,10 +269,18 @@ def _knn_sql(metric: str = "cosine", rows: str = "embeddings", where: str = "tru
     return f"SELECT vec_id, round(distance, 6) AS distance FROM (SELECT vec_id, {_DIST[metric].format(_V, _Q)} AS distance FROM {rows} e WHERE {where} ORDER BY 2, 1 LIMIT {K})"
 
 
-def _batch_sql(metric: str = "cosine") -> str:
+#: The query sets in SQL.
+_FIRST_SQL, _EACH_SQL = f"q.vec_id < {QUERIES}", f"q.vec_id % {EACH} = 0"
+
+
+def _batch_sql(metric: str = "cosine", asks: str = _FIRST_SQL) -> str:
     far = _DIST[metric].format(_V, "q.embedding::DOUBLE[]")
     return (f"SELECT query_id, vec_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {far} AS distance, "
-            f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {far}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < {QUERIES}) WHERE rank <= {K}")
+            f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {far}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE {asks}) WHERE rank <= {K}")
+
+
+def _recall_sql(asks: str = _FIRST_SQL) -> str:
+    return f"WITH x AS ({_batch_sql(asks=asks)}), y AS (SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST['cosine'].format(_V, 'q.embedding::DOUBLE[]')}, e.vec_id) AS k FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE {asks}) WHERE k <= {K}) SELECT x.query_id, round(count(y.vec_id) / {K}.0::DOUBLE, 6) AS recall FROM x LEFT JOIN y ON x.query_id = y.query_id AND x.vec_id = y.vec_id GROUP BY 1"
 
 
 def _state_sql(source: str = _LOG, where: str = "true") -> str:
@@ -289,9 +315,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {f"knn_filter_{name}": _filtered(spec) for name, (spec, _) in FILTERS.items()}
     out |= {
         "knn_filter_variant": _filtered(FILTERS["and"][0], variant=True),
-        "knn_batch": _batch,
+        "knn_batch": _batch(),
         "knn_matrix": _matrix(),
         "knn_matrix_euclidean": _matrix("euclidean"),
+        "knn_batch_all": _batch(_is_each),
+        "knn_matrix_all": _matrix(asks=_is_each),
+        "knn_matrix_euclidean_all": _matrix("euclidean", _is_each),
         "knn_per_partition": _per_partition,
         "knn_scatter_gather": _scatter,
         "filter_missing_field": _matching({"field": "quality", "op": "ne", "value": 5}),
@@ -328,7 +357,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "collection_sizes": lambda s, d: _collection(s, d).stats(),
         "stream_ingest": _stream,
         "heartbeat_dead": lambda s, d: stats.dead_members(_events(s, d), 6 * 3600, node="user_id").select("user_id"),
-        "recall_at_k": _recall,
+        "recall_at_k": _recall(),
+        "recall_at_k_all": _recall(_is_each),
         "latency_percentiles": _latency,
         "ann_lsh": _lsh,
         "ann_hnsw": _hnsw,
@@ -350,6 +380,9 @@ def oracle_sql() -> dict[str, str]:
         "knn_batch": _batch_sql(),
         "knn_matrix": _batch_sql(),
         "knn_matrix_euclidean": _batch_sql("euclidean"),
+        "knn_batch_all": _batch_sql(asks=_EACH_SQL),
+        "knn_matrix_all": _batch_sql(asks=_EACH_SQL),
+        "knn_matrix_euclidean_all": _batch_sql("euclidean", _EACH_SQL),
         "knn_per_partition": f"SELECT partition_id, vec_id, round(distance, 6) AS distance, 1::INTEGER AS rank FROM (SELECT partition_id, vec_id, {far} AS distance, row_number() OVER (PARTITION BY partition_id ORDER BY {far}, vec_id) AS k FROM {scatter} e) WHERE k = 1",
         "knn_scatter_gather": f"SELECT vec_id, round(distance, 6) AS distance, partition_id, {_owner_sql('partition_id', NODES)} AS source_node FROM (SELECT vec_id, partition_id, {far} AS distance FROM {scatter} e ORDER BY 3, 1 LIMIT {K})",
         "filter_missing_field": f"SELECT vec_id FROM {_META} WHERE quality <> 5",
@@ -385,7 +418,8 @@ def oracle_sql() -> dict[str, str]:
         "collection_search": f"SELECT vec_id, round(distance, 6) AS distance, partition_id, {_owner_sql('partition_id', NODES)} AS source_node FROM (SELECT vec_id, {_PID.format('vec_id')} AS partition_id, {far} AS distance FROM {_META} e WHERE lang <> 'en' AND NOT vec_id BETWEEN 20 AND 39 ORDER BY 3, 1 LIMIT {K})",
         "stream_ingest": f"SELECT vector_id, partition_id, value FROM ({_state_sql(where='gone OR value IS NOT NULL')})",
         "heartbeat_dead": "SELECT user_id FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR",
-        "recall_at_k": f"WITH x AS ({_batch_sql()}), y AS (SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST['cosine'].format(_V, 'q.embedding::DOUBLE[]')}, e.vec_id) AS k FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id < {QUERIES}) WHERE k <= {K}) SELECT x.query_id, round(count(y.vec_id) / {K}.0::DOUBLE, 6) AS recall FROM x LEFT JOIN y ON x.query_id = y.query_id AND x.vec_id = y.vec_id GROUP BY 1",
+        "recall_at_k": _recall_sql(),
+        "recall_at_k_all": _recall_sql(_EACH_SQL),
         "latency_percentiles": "SELECT round(avg(value), 3) AS mean_ms, round(quantile_cont(value, 0.5), 3) AS p50_ms, round(quantile_cont(value, 0.95), 3) AS p95_ms, round(count(value) / (sum(value) / 1000.0), 3) AS qps FROM events WHERE value > 0",
     }
     out["collection_sizes"] = out["node_stats"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat import OP3_SQL, op3_chat_format
 from .decontaminate import OP9_SQL, op9_decontamination
 from .mixing import op2_mixing
-from .ngram_join import OP1_SQL, op1_ngram_join
+from .ngram_join import OP1_LINKS_SQL, OP1_SQL, op1_links, op1_ngram_join
 from .pii import op4_pii
 from .quality import op8_quality
 from .telephony import op5_telephony
@@ -24,6 +24,7 @@ def queries() -> dict:
     return {
         "pipeline": _pipeline,
         "op1_ngram_join": op1_ngram_join,
+        "op1_links": op1_links,
         "op2_mixing": op2_mixing,
         "op3_chat_format": op3_chat_format,
         "op4_pii": op4_pii,
@@ -39,6 +40,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": OP1_SQL,
+        "op1_links": OP1_LINKS_SQL,
         "op3_chat_format": OP3_SQL,
         "op7_url_filter": OP7_SQL,
         "op9_decontamination": OP9_SQL,

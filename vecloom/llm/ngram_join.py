@@ -17,6 +17,10 @@
    verifications per member, not one per pair, and no link between components
    is lost.
 5. Verification reads both whole texts, once per pair, and intersects the sets.
+6. Classes are all that ``near_duplicates`` needs.  ``near_links`` and
+   ``link_counts`` give every link: all pairs of different sets of a component
+   are intersected, in pairs of blocks dealt by a hash of the id, so that a
+   large component is many small tasks.
 """
 
 from __future__ import annotations
@@ -48,6 +52,8 @@ PARITIES = [f"g{k}" for k in range(8)]
 SETS = "doc_id long, n int, s1 long, s2 long, " + ", ".join(f"{c} long" for c in PARITIES)
 #: Neighbours paired in an order of a gram's postings, and the number of random orders.
 REACH, ORDERS = 2, 3
+#: Sets, and grams of sets, of a block of a component, about; columns of an incidence matrix at once.
+BLOCK, BLOCK_GRAMS, COLUMNS = 256, 1 << 19, 1 << 14
 
 
 def _per_text(grams: np.ndarray, bound: np.ndarray, values: np.ndarray, how: np.ufunc) -> np.ndarray:
@@ -255,24 +261,23 @@ def _difference(a: Column, b: Column) -> Column:
     return odd
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable by links, itself included).
+#: Columns that tell a set from others.
+SAME = ["s1", "s2", "n"]
 
-    Two texts link when ``den`` * intersection >= ``num`` * union of their sets
-    of ``width``-word shingles (A-Z folded, words split at white space).  A text
-    with fewer words is one shingle; null, empty and blank texts have none and
-    link with nothing, each its own component.  Ids are whole numbers; rows
-    with a null id are left out of the result, repeated ids count as one text
-    (their rows are each returned).  Other columns are not read.  An empty
-    table gives an empty result.
-    """
+
+def _members(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Each row's set with its representative; null for a text without grams."""
+    return sets.join(reps.select(*SAME, "rep"), SAME, "left")
+
+
+def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Texts by id, their sets, the sets' representatives, and (u, root) of the representatives' components."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
     sets = stored(docs.mapInArrow(_set_rows(width), SETS), "sets")
     total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    same = ["s1", "s2", "n"]
-    reps = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in PARITIES])
+    reps = sets.where("n > 0").groupBy(*SAME).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in PARITIES])
     reps = stored(reps, "reps")
 
     grams = common_grams(docs, width, total)
@@ -339,13 +344,150 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    members = sets.join(reps.select(*same, "rep"), same, "left")
+    return docs, sets, reps, roots
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable by links, itself included).
+
+    Two texts link when ``den`` * intersection >= ``num`` * union of their sets
+    of ``width``-word shingles (A-Z folded, words split at white space).  A text
+    with fewer words is one shingle; null, empty and blank texts have none and
+    link with nothing, each its own component.  Ids are whole numbers; rows
+    with a null id are left out of the result, repeated ids count as one text
+    (their rows are each returned).  Other columns are not read.  An empty
+    table gives an empty result.
+    """
+    _, sets, reps, roots = _classes(docs, width, num, den, id_col, text_col)
     return (
-        members.join(roots, members["rep"] == roots["u"], "left")
+        _members(sets, reps).join(roots, F.col("rep") == roots["u"], "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
     )
 
 
+def _gram_rows(width: int):
+    """Each text's grams as one value; the set's sum tells which rows of a repeated id are meant."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width)
+        for batch in batches:
+            raw, off = utf8(batch.column("text"))
+            for i, j, data, own in pieces(raw, off):
+                grams, bound = shingler.sets(data, own)
+                held = [grams[a:b].tobytes() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
+                right = pa.array(_signature(grams, bound).view(np.int64) == batch.column("s1").slice(i, j - i).to_numpy())
+                part = batch.slice(i, j - i)
+                out = [part.column(c) for c in ("comp", "rep", "s1", "copies", "blocks", "own")]
+                yield pa.record_batch([*out, pa.array(held, pa.binary())], ["comp", "rep", "s1", "copies", "blocks", "own", "grams"]).filter(right)
+        trim()
+
+    return rows
+
+
+def _shared_grams(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    sizes = np.array([len(x) for x in sets])
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, column = np.repeat(np.arange(len(sets)), sizes), (np.cumsum(often > 1) - 1)[at]
+    keep = often[at] > 1
+    order = np.argsort(column[keep], kind="stable")
+    row, column = row[keep][order], column[keep][order]
+    total = np.zeros((len(sets), len(sets)))
+    for low in range(0, int((often > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        has_it = np.zeros((len(sets), int(column[b - 1]) - low + 1), np.float32)
+        has_it[row[a:b], column[a:b] - low] = 1
+        total += has_it @ has_it.T
+    return total.astype(np.int64)
+
+
+def _link_rows(num: int, den: int, counted: bool):
+    """Links between the sets of two blocks, or within one, as pairs or as each set's number of linked documents.
+
+    Rows come sorted by component and pair of blocks.
+    """
+
+    def links(run: dict[tuple[int, int], tuple]) -> pa.RecordBatch:
+        who = list(run.values())
+        grams = [np.frombuffer(r[3], np.uint64) for r in who]
+        own, size = np.array([r[2] for r in who]), np.array([len(g) for g in grams])
+        shared = _shared_grams(grams)
+        hit = (shared > 0) & (den * shared >= num * (size[:, None] + size[None, :] - shared))
+        two = own.min() != own.max()
+        u, v = np.nonzero(np.triu(hit, 1) & ((own[:, None] != own[None, :]) if two else True))
+        rep, copies = np.array([r[0] for r in who]), np.array([r[1] for r in who])
+        other = rep[u] != rep[v]
+        u, v = u[other], v[other]
+        if not counted:
+            return pa.record_batch([pa.array(np.minimum(rep[u], rep[v])), pa.array(np.maximum(rep[u], rep[v])), pa.array(shared[u, v])], ["u", "v", "n_shared"])
+        n = np.bincount(u, copies[v], len(who)) + np.bincount(v, copies[u], len(who))
+        return pa.record_batch([pa.array(rep), pa.array(np.array([s for _, s in run])), pa.array(n.astype(np.int64))], ["rep", "s1", "n_links"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, run = None, {}
+        for batch in batches:
+            for comp, i, j, rep, s1, copies, own, grams in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "rep", "s1", "copies", "own", "grams"))):
+                # two blocks are compared with each other here, and each with itself in a run of its own
+                if (comp, i, j) != last:
+                    if len(run) > 1 and (last[1] == last[2] or len({r[2] for r in run.values()}) > 1):
+                        yield links(run)
+                    last, run = (comp, i, j), {}
+                run[rep, s1] = (rep, copies, own, grams)
+        if len(run) > 1 and (last[1] == last[2] or len({r[2] for r in run.values()}) > 1):
+            yield links(run)
+        trim()
+
+    return rows
+
+
+def _links(docs: DataFrame, members: DataFrame, reps: DataFrame, roots: DataFrame, width: int, num: int, den: int, counted: bool) -> DataFrame:
+    copies = members.where("rep is not null").groupBy(F.col("rep").alias("c_rep"), F.col("s1").alias("c_s1")).agg(F.count_distinct("doc_id").alias("copies"))
+    placed = reps.select("rep", "s1", "n").join(roots, F.col("rep") == roots["u"], "left").select("rep", "s1", "n", F.coalesce("root", "rep").alias("comp"))
+    placed = stored(placed, "members")
+    sizes = placed.groupBy(F.col("comp").alias("s_comp")).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n").cast("long")).alias("grams")).where("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / F.lit(float(BLOCK))), F.least("m", F.ceil(F.col("grams") / F.lit(float(BLOCK_GRAMS)))))
+    placed = placed.join(sizes, F.col("comp") == F.col("s_comp")).select("comp", "rep", "s1", blocks.cast("int").alias("blocks"))
+    placed = placed.join(copies, (F.col("rep") == F.col("c_rep")) & (F.col("s1") == F.col("c_s1"))).drop("c_rep", "c_s1")
+    placed = stored(placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")), "blocks")
+    size = table_size(placed.count(), 16)
+    table = build(placed.select(F.xxhash64("rep").alias("h")), "h", size)
+    texts = docs.where(has(table, size, F.xxhash64("doc_id")))
+    asked = placed.join(texts, F.col("rep") == F.col("doc_id")).select("comp", "rep", "s1", "copies", "blocks", "own", "text")
+    held = stored(asked.mapInArrow(_gram_rows(width), "comp long, rep long, s1 long, copies long, blocks int, own int, grams binary"), "held")
+    released(docs.sparkSession)
+    other = held.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
+    dealt = other.select("comp", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "rep", "s1", "copies", "own", "grams")
+    dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    return dealt.mapInArrow(_link_rows(num, den, counted), "rep long, s1 long, n_links long" if counted else "u long, v long, n_shared long")
+
+
+def near_links(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link: (u, v, n_shared) between the representatives of different sets, u < v, and (id, representative_id) of every text with a set.
+
+    Two texts of different sets link when their representatives do, and all
+    texts of one set link.  Rules and awkward rows as in ``near_duplicates``.
+    """
+    docs, sets, reps, roots = _classes(docs, width, num, den, id_col, text_col)
+    members = _members(sets, reps)
+    pairs = _links(docs, members, reps, roots, width, num, den, False)
+    return pairs, members.where("rep is not null").select("doc_id", F.col("rep").alias("representative_id")).distinct()
+
+
+def link_counts(docs: DataFrame, *, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, component_id, n_links (other documents that it links with itself, exact copies among them).
+
+    Half of the sum over a component is the component's number of links.  No
+    pair leaves the task that verifies it.
+    """
+    docs, sets, reps, roots = _classes(docs, width, num, den, id_col, text_col)
+    members = stored(_members(sets, reps).select("doc_id", "rep", "s1"), "membership")
+    others = _links(docs, members, reps, roots, width, num, den, True).groupBy(F.col("rep").alias("o_rep"), F.col("s1").alias("o_s1")).agg(F.sum("n_links").alias("others"))
+    own = members.where("rep is not null").groupBy(F.col("rep").alias("c_rep"), F.col("s1").alias("c_s1")).agg((F.count_distinct("doc_id") - 1).alias("own"))
+    found = own.join(others, (F.col("c_rep") == F.col("o_rep")) & (F.col("c_s1") == F.col("o_s1")), "left").select("c_rep", "c_s1", (F.col("own") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    got = members.join(found, (F.col("rep") == F.col("c_rep")) & (F.col("s1") == F.col("c_s1")), "left").join(roots, F.col("rep") == roots["u"], "left")
+    return got.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """Documents that are the smallest id of their component, with all their columns; rows without an id stay."""
     id_col = how.get("id_col", "doc_id")
@@ -361,6 +503,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, num=85, den=100)
 
 
+def op1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of links of every document, by the rule of ``op1_ngram_join``."""
+    return link_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, num=85, den=100)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -380,3 +527,8 @@ links AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) r ON r.u = d.doc_id
 """
+
+OP1_LINKS_SQL = OP1_SQL[:OP1_SQL.index("SELECT d.doc_id")] + """\
+SELECT d.doc_id, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, coalesce(k, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN (SELECT u, count(*) AS k FROM links GROUP BY u) l ON l.u = d.doc_id LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) r ON r.u = d.doc_id
+"""

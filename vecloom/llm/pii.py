@@ -6,8 +6,12 @@ propose overlapping candidates (spelled-out mail addresses, digit groups
 without a plus sign, IPv6, account numbers, long keys).  Boosted trees score a
 candidate by its format and its context; they are fitted on a bounded sample
 of the corpus whose weak labels come from the checked patterns, with the
-checks themselves left out of the features.  Thresholds are calibrated on held
-out candidates for a stated precision and select the added spans.
+checks themselves left out of the features.  What only a generator finds is
+unlabelled, not negative: negatives are clear ones (failed checks, dates,
+versions, bare numbers), and a candidate is described in the form that the
+checked patterns know, so that its spelling doesn't give it away.  Thresholds
+are calibrated on held out labelled candidates for a stated precision and
+select the added spans.
 """
 
 from __future__ import annotations
@@ -92,10 +96,30 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return sorted((m.start(), KINDS.index(kind), m.end()) for kind, pattern in GENERATORS for m in pattern.finditer(text))
 
 
+AT, DOT = re.compile(r" ?(?:\[at\]|\(at\)) ?"), re.compile(r" ?(?:\[dot\]|\(dot\)) ?")
+DATE = re.compile(r"[0-9]{4}([-/. ])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])|[0-9]{1,2}([-/. ])[0-9]{1,2}\2[0-9]{4}(?![0-9])")
+#: Words right before a number that is a version, a page, a book or an order, and words that announce a phone number.
+NUMBERED = re.compile(r"\b(?:version|v|release|page|pages|isbn|order|id|no|nr)[ .:#]*$")
+CALLED = re.compile(r"\b(?:call|phone|tel|telephone|fax|mobile|contact|dial|reach|sms)\b")
+
+
+def plain(body: str, kind: int) -> str:
+    """A candidate in the form of the checked patterns: at and dot signs, four numbers for a whole IPv6 address, a phone number without its country and with spaces only."""
+    if kind == 0:
+        return DOT.sub(".", AT.sub("@", body))
+    if kind == 1 and body.count(":") == 7:
+        words = [int(x, 16) for x in body.split(":")]
+        return ".".join(str((a ^ b) & 255) for a, b in zip(words[::2], words[1::2]))
+    if kind == 3:
+        national = re.sub(r"^(?:\+|00)[0-9]{1,3}(?=[ ().\-/])", "", body).removeprefix("+").removeprefix("00")
+        return re.sub(r"[ ().\-/]+", " ", national).strip()
+    return body
+
+
 def describe(text: str, span: tuple[int, int, int]) -> list[float]:
     """Format and context features of a candidate."""
     s, kind, e = span
-    body = text[s:e]
+    body = plain(text[s:e], kind)
     digits = sum(c in "0123456789" for c in body)
     upper = sum(c.isupper() for c in body)
     groups = [len(g) for g in re.findall(r"[0-9]+", body)] or [0]
@@ -104,18 +128,39 @@ def describe(text: str, span: tuple[int, int, int]) -> list[float]:
     words = re.findall(r"[a-z]+", before)
     return [
         *(float(kind == k) for k in range(len(KINDS))), len(body), digits, digits / len(body), upper / len(body), len(groups), max(groups), min(groups),
-        body.count("."), body.count("-"), body.count(" "), body.count("@"), body.count(":"), float(body[0] == "+"), float(body.startswith("0")),
+        body.count("."), body.count("-"), body.count(" "), body.count("@"), body.count(":"), float(body.startswith("0")),
         len(set(body)) / len(body), max((int(g) for g in re.findall(r"[0-9]{1,9}", body)), default=0) if kind == 1 else -1.0,
         float(left in " \n\t(\"'<:" or not left), float(right in " \n\t.,;)\"'>" or not right),
         *(float(w in words or any(x.startswith(w) for x in words if len(w) > 2)) for w in CONTEXT), float("=" in before[-4:] or ":" in before[-3:]), float(after[:1].isalnum()),
     ]
 
 
-def weak_label(text: str, span: tuple[int, int, int], base: set[tuple[int, int, int]]) -> int:
-    """1 when a checked pattern agrees: the same span for a base kind; for others their own checksum or an assignment."""
+def clearly_not(text: str, span: tuple[int, int, int], base: set[tuple[int, int, int]]) -> bool:
+    """A candidate of a base kind that a check refutes, or that is plainly something else."""
+    s, kind, e = span
+    body, before = plain(text[s:e], kind), text[max(0, s - 40):s].lower()
+    digits = re.sub("[^0-9]", "", text[s:e])
+    if kind == 0:
+        return "." not in body[body.find("@"):]
+    if kind == 1:
+        parts = body.split(".")
+        return len(parts) != 4 or any(not p.isdigit() or int(p) > 255 for p in parts) or NUMBERED.search(before) is not None
+    if kind == 2:
+        return not 13 <= len(digits) <= 19 or not luhn(digits)
+    other = any(k in (1, 2) and a <= s and e <= b for a, k, b in base)
+    bare = text[s:e].isdigit() and not CALLED.search(before)
+    return other or bare or not 7 <= len(digits) <= 15 or DATE.match(text[s:e]) is not None or NUMBERED.search(before) is not None
+
+
+def weak_label(text: str, span: tuple[int, int, int], base: set[tuple[int, int, int]]) -> int | None:
+    """1 when a checked pattern agrees: the same span for a base kind; for others their own checksum or an assignment.
+
+    Other candidates of a base kind are 0 only if clearly something else, and
+    None, unlabelled, if the checked patterns just don't reach them.
+    """
     s, kind, e = span
     if kind < 4:
-        return int(span in base)
+        return 1 if span in base else 0 if clearly_not(text, span, base) else None
     body = text[s:e]
     if kind == 4:
         c = body.replace(" ", "")
@@ -152,7 +197,8 @@ def fit_selector(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             x = []
             for text in batch.column(0).to_pylist():
                 base = set(base_spans(text))
-                x += [[float(weak_label(text, c, base)), *describe(text, c)] for c in candidates(text)]
+                labelled = ((weak_label(text, c, base), c) for c in candidates(text))
+                x += [[float(y), *describe(text, c)] for y, c in labelled if y is not None]
             yield pa.record_batch([pa.array([np.array(r, np.float32).tobytes() for r in x], pa.binary())], ["x"])
 
     text = F.col(f"`{text_col}`")

@@ -34,3 +34,16 @@ def test_weak_labels():
     assert labels("at a.b@c.org now", 0) == [1] and labels("at a.b [at] c [dot] org, now", 0) == [None] and labels("at a@localhost, now", 0) == [0]
     assert labels("host 10.0.0.1, up", 1) == [1] and labels("host 2001:db8:0:1:2:3:4:5, up", 1) == [None] and labels("host 300.1.2.3, up", 1) == [0]
     assert labels("call +1 415 555 2671, now", 3) == [1] and labels("call 415 555 2671, now", 3) == [None] and labels("on 2021-03-04, now", 3) == [0]
+
+
+def test_copies_take_no_places_of_the_sample(spark, monkeypatch):
+    """The sample holds so many different texts, however often each is repeated."""
+    from vecloom.llm import pii
+
+    held = []
+    monkeypatch.setattr(pii, "fit", lambda x, y: held.append(len(x)) or pii.Boosted())
+    monkeypatch.setattr(pii, "calibrate", lambda model, x, y: held.append(len(x)))
+    rows = [(i, f"mail user{i}@host.example.org") for i in range(60)]
+    rows += [(1000 + i, f"mail copy{i % 40}@host.example.org") for i in range(40 * 100)]
+    fit_selector(spark.createDataFrame(rows, "doc_id long, text string"), sampled=80)
+    assert sum(held) == 80

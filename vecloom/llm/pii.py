@@ -190,28 +190,32 @@ class Selector:
 
 
 def fit_selector(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sampled: int = SAMPLED, precision: float = PRECISION) -> Selector:
-    """Trees and thresholds from the ``sampled`` documents of the smallest hash that have a digit or an at sign."""
+    """Trees and thresholds from the ``sampled`` different texts of the smallest hash that have a digit or an at sign."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = []
-            for text in batch.column(0).to_pylist():
+            half, x = [], []
+            for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base = set(base_spans(text))
                 labelled = ((weak_label(text, c, base), c) for c in candidates(text))
-                x += [[float(y), *describe(text, c)] for y, c in labelled if y is not None]
-            yield pa.record_batch([pa.array([np.array(r, np.float32).tobytes() for r in x], pa.binary())], ["x"])
+                own = [[float(y), *describe(text, c)] for y, c in labelled if y is not None]
+                x += own
+                half += [h % 2 == 0] * len(own)
+            yield pa.record_batch([pa.array(half, pa.bool_()), pa.array([np.array(r, np.float32).tobytes() for r in x], pa.binary())], ["half", "x"])
 
     text = F.col(f"`{text_col}`")
     usable = docs.where(text.rlike("[0-9@]")).select(text.alias("text"), F.xxhash64(text).alias("h"))
-    # hashes are even, so twice the sample's share of them holds the sample: only about so many texts meet in one task
-    share = min(1.0, 2 * sampled / max(1, usable.count()))
+    # hashes of different texts are even, so twice the sample's share of them holds the sample: only about so many texts meet in one task
+    share = min(1.0, 2 * sampled / max(1, usable.select("h").distinct().count()))
     cut = (1 << 63) - 1 if share == 1.0 else int(share * 2.0**64) - (1 << 63)
-    chosen = usable.where(F.col("h") <= cut).orderBy("h").limit(sampled)
-    got = chosen.select("text").mapInArrow(rows, "x binary").collect()
+    # copies go before the limit: they would take places of other texts, and lie on both sides of the calibration
+    chosen = usable.where(F.col("h") <= cut).dropDuplicates(["h"]).orderBy("h").limit(sampled)
+    got = chosen.select("text", "h").mapInArrow(rows, "half boolean, x binary").collect()
     if not got:
         return Selector(Boosted(base=-10.0), [1.1] * len(KINDS))
-    data = np.stack([np.frombuffer(b, np.float32) for b in sorted(bytes(r["x"]) for r in got)])
-    half = np.arange(len(data)) % 2 == 0
+    got = sorted((bytes(r["x"]), r["half"]) for r in got)
+    data = np.stack([np.frombuffer(b, np.float32) for b, _ in got])
+    half = np.array([h for _, h in got])
     x, y = data[:, 1:].astype(float), data[:, 0].astype(float)
     model = fit(x[half], y[half])
     calibrate(model, x[~half], y[~half])

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.distance import check_metric, distance
-from .knn import BROADCAST_CELLS, _block_distances, _top, check_k, search_batch
+from .knn import BROADCAST_CELLS, _block_distances, _top, check_k
 
 STRATEGIES = ("auto", "exact", "lsh", "hnsw")
 #: Rows up to which "auto" stays exact, and rows of a graph's shard.
@@ -62,20 +62,26 @@ def search_lsh(vectors: DataFrame, queries: DataFrame, k: int, dim: int, *, metr
                query_id: str = "query_id", tables: int = 20, bits: int = 4, seed: int = 7) -> DataFrame:
     """query_id, id, distance, rank among rows that share a bucket with the query in any table.
 
-    The bucketed queries are broadcast behind a check of their number; the
-    vectors aren't shuffled, only each task's k best of a query are.
+    The bucketed queries are broadcast in chunks of bounded size, dealt by a
+    hash of the query's id; the vectors aren't shuffled, only candidates are.
     """
     check_k(k)
     check_metric(metric)
     many = BROADCAST_CELLS // (dim + tables)
-    if queries.limit(many + 1).count() > many:
-        return search_batch(vectors, queries, k, metric=metric, id_col=id_col, col=col, query_id=query_id)
+    n = queries.count()
+    # chunks by hash are not quite even: half full on average, unless one holds all
+    chunks = 1 if n <= many else -(-2 * n // many)
     how = {"tables": tables, "bits": bits, "seed": seed}
     mine = lsh_buckets(vectors, dim, id_col=id_col, col=col, **how)
     asked = lsh_buckets(queries.withColumnRenamed(query_id, "query_id"), dim, id_col="query_id", **how).select("query_id", F.col("embedding").alias("_q"), F.posexplode("codes").alias("_t", "_c"))
     spots = mine.select(id_col, F.col(col).alias("_v"), F.posexplode("codes").alias("_t", "_c"))
-    near = spots.join(F.broadcast(asked), ["_t", "_c"]).select("query_id", id_col, distance(F.col("_v"), F.col("_q"), metric).alias("distance"))
-    return _top(near.distinct(), ["query_id"], k, id_col)
+    out = None
+    for c in range(chunks):
+        part = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == c)
+        near = spots.join(F.broadcast(part), ["_t", "_c"]).select("query_id", id_col, distance(F.col("_v"), F.col("_q"), metric).alias("distance"))
+        got = _top(near.distinct(), ["query_id"], k, id_col)
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 class Graph:
@@ -224,27 +230,37 @@ def build_graphs(vectors: DataFrame, *, metric: str = "cosine", id_col: str = "v
 
 
 def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", id_col: str = "vector_id", query_id: str = "query_id", ef: int | None = None) -> DataFrame:
-    """query_id, id, distance, rank: each shard's graph is probed with every query, and the shards' results are merged."""
+    """query_id, id, distance, rank: each shard's graph is probed with every query, chunk by chunk, and the shards' results are merged."""
     check_k(k)
-    rows = [(r[0], r[1]) for r in queries.select(query_id, "embedding").limit(BROADCAST_CELLS // 64 + 1).collect()]
-    if len(rows) > BROADCAST_CELLS // 64:
-        raise ValueError("too many queries for one call: split them")
-    shared = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
     id_type = graphs.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField(id_col, id_type), T.StructField("distance", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        for batch in batches:
-            for ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                graph = Graph.load(blob)
-                for name, one in zip(names, q):
-                    found = graph.search(one, k, ef)
-                    d = _block_distances(graph.x[found], one[None], metric)[0]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(([name] * len(found), [ids[i] for i in found], d), arrow.types)], schema=arrow)
-
-    return _top(graphs.select("ids", "graph").mapInArrow(probe, schema), ["query_id"], k, id_col)
+    def pass_over(rows: list) -> DataFrame:
+        shared = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for batch in batches:
+                for ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    graph = Graph.load(blob)
+                    for name, one in zip(names, q):
+                        found = graph.search(one, k, ef)
+                        d = _block_distances(graph.x[found], one[None], metric)[0]
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(([name] * len(found), [ids[i] for i in found], d), arrow.types)], schema=arrow)
+
+        return graphs.select("ids", "graph").mapInArrow(probe, schema)
+
+    out, rows = None, []
+    for r in queries.select(query_id, "embedding").toLocalIterator():
+        rows.append((r[0], r[1]))
+        if len(rows) >= BROADCAST_CELLS // 64:
+            part = pass_over(rows)
+            out, rows = part if out is None else out.unionByName(part), []
+    if rows or out is None:
+        part = pass_over(rows)
+        out = part if out is None else out.unionByName(part)
+    return _top(out, ["query_id"], k, id_col)
 
 
 def layer_stats(graphs: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ def _lsh(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graphs(spark: SparkSession, d: str) -> DataFrame:
-    return ann.build_graphs(_embeddings(spark, d), id_col="vec_id", ef_build=60)
+    return ann.build_graphs(_embeddings(spark, d), id_col="vec_id")
 
 
 def _hnsw(spark: SparkSession, d: str) -> DataFrame:

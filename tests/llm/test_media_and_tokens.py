@@ -146,3 +146,50 @@ def test_shingles():
     grams, bound = Shingler(4).sets(raw, off)
     parts = [set(grams[a:b].tolist()) for a, b in zip(bound[:-1], bound[1:])]
     assert [len(p) for p in parts] == [2, 3, 1, 0, 1, 1] and parts[0] < parts[1] and not parts[2] & parts[5]
+
+
+def complements(n):
+    """Two strings of length 2 ** n, each the other's complement, on which polynomial hashes modulo 2 ** 64 agree."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def ids_of(enc, texts, limit=1 << 18):
+    out = []
+    for _, _, data, own in pieces(*utf8(pa.array(texts)), limit):
+        ids, n = enc.encode(data, own)
+        out += [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])]
+    return out
+
+
+def test_pieces_are_known_by_their_bytes(monkeypatch):
+    texts = [f" {t}" for n in (3, 4, 10, 11) for t in complements(n)] + ["=" * 5000, " " * 70, "x" * 17 + " " + "x" * 16]
+    lib = own_tokenizer()
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids_of(tokens.Encoder(tokens.default_tokenizer()), texts) == want
+    # every piece under one hash: the bytes alone tell them apart
+    monkeypatch.setattr(tokens, "mixed", lambda h: h & np.uint64(0))
+    assert ids_of(tokens.Encoder(tokens.default_tokenizer()), texts * 2, 100) == want * 2
+
+
+def test_files_with_other_rules_go_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rules = json.load(open(tokens.default_tokenizer(), encoding="utf-8"))
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules))
+    texts = ["one two", "", "it's 12"]
+    lib = Tokenizer.from_file(str(path))
+    assert ids_of(tokens.Encoder(str(path)), texts) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_structured_words_do_not_collide():
+    for n in (10, 11, 12):
+        raw, off = utf8(pa.array(list(complements(n))))
+        grams, bound, sums = Shingler(4).sets(raw, off, True)
+        assert len(bound) == 3 and grams[0] != grams[1] and sums[0].tolist() != sums[1].tolist()

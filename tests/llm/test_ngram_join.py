@@ -69,6 +69,49 @@ def test_components_against_brute_force(spark, monkeypatch, seed, width, num):
     assert {(r["doc_id"], r["n_shingles"]) for r in got} == sizes
 
 
+@pytest.mark.parametrize("seed,num", [(11, 85), (12, 60), (13, 100)])
+def test_hot_grams_and_stars_in_many_cells(spark, monkeypatch, seed, num):
+    """Postings of nearly every gram are dealt to several cells, stars to several places."""
+    from vecloom.llm import components as stars
+
+    monkeypatch.setattr(ngram_join, "LEAST_COMMON", 2)
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    monkeypatch.setattr(stars, "STAR", 3)
+    rows = corpus(seed, 220)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=4, num=num, den=100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows, 4, num, 100)[0]
+
+
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    seen = []
+    verified = ngram_join._verified
+
+    def watched(pairs, *how):
+        seen.extend((r["u"], r["v"]) for r in pairs.collect())
+        return verified(pairs, *how)
+
+    monkeypatch.setattr(ngram_join, "_verified", watched)
+    rows = corpus(21, 300)
+    near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, num=95, den=100).count()
+    assert len(seen) > 10 and len(seen) == len(set(seen))
+
+
+def test_links_rest_on_words_not_on_hashes(spark, monkeypatch):
+    """Structured words, and every two grams under one hash: only words that are equal link."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, a), (2, b), (3, a.upper()), (4, f" {b}\n"), (5, "c")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5}
+    import numpy as np
+
+    from vecloom.llm.textkernels import Shingler, same_grams
+
+    x, y, z = (Shingler(2).detail(np.frombuffer(t.encode(), np.uint8)) for t in ("p q r s", "p Q r\ns", "k l m n"))
+    assert same_grams(x, y) == 3 and same_grams(x, z) == 0
+    assert same_grams(x, (x[0], *z[1:])) == 0
+
+
 def test_large_group_of_near_copies(spark):
     """One group, most pairs of which don't link directly: the class still comes out whole."""
     rng = random.Random(7)

@@ -1,6 +1,9 @@
 """Connected components of a graph of any size, by alternating large-star and
 small-star steps (Kiveris et al., 2014).  Each step is an aggregation and a
-join; nothing but a fingerprint of the edges reaches the driver."""
+join; nothing but a fingerprint of the edges reaches the driver.
+
+A node with very many neighbours is the centre of a star: its edges are dealt
+to many places, and its least neighbour goes to each of them."""
 
 from __future__ import annotations
 
@@ -11,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import stored
+from ..workspace import scope, stored
 
 #: Edges a worker holds while it contracts its own share.
 HELD = 1 << 20
+#: Edges of a node that meet in one place, at least, and nodes that may be known as centres, at most (a bound of the broadcast).
+STAR, CENTRES = 1024, 100_000
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,23 +52,44 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(np.concatenate(a), np.concatenate(b))
 
 
+def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """(u, v, m): each edge with its node's ``m``; ``least`` has u, m and the node's number of edges c.
+
+    Nodes of more than ``star`` edges are at most CENTRES, so their list may be
+    broadcast whatever the size of the graph.
+    """
+    star = max(STAR, -(-2 * count // CENTRES))
+    cells = F.ceil(F.col("c") / F.lit(float(star))).cast("int")
+    hot = F.broadcast(least.where(F.col("c") > star).select(F.col("u").alias("h_u"), cells.alias("h_cells")))
+    spot = F.when(F.col("h_cells").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.col("h_cells").cast("long")).cast("int"))
+    dealt = edges.join(hot, F.col("u") == F.col("h_u"), "left").select("u", "v", spot.alias("cell"))
+    to_all = least.select(F.col("u").alias("l_u"), "m", F.explode(F.sequence(F.lit(0), cells - 1)).alias("l_cell"))
+    return dealt.join(to_all, (F.col("u") == F.col("l_u")) & (F.col("cell") == F.col("l_cell"))).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node that is not the least of its component.
 
     ``edges`` has long columns u, v; loops, repeats and either direction are
     allowed, nulls are ignored.
     """
-    e = edges.where("u is not null and v is not null and u <> v").select("u", "v")
-    e = stored(e.mapInArrow(_local_stars, "u long, v long").distinct(), "edges")
-    seen = None
-    while True:
-        mark = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark[0] == 0 or mark == seen:
-            return e.select("u", F.col("v").alias("root"))
-        seen = mark
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+    with scope(edges.sparkSession) as own:
+        e = edges.where("u is not null and v is not null and u <> v").select("u", "v")
+        e = stored(e.mapInArrow(_local_stars, "u long, v long").distinct(), "edges")
+        seen = None
+        while True:
+            mark = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if mark[0] == 0 or mark == seen:
+                own.keep(e)
+                out = e.select("u", F.col("v").alias("root"))
+                out._scratch = e._scratch
+                return out
+            seen = mark
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("c"))
+            large = _with_least(both.where("v > u"), least, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            large = stored(large.distinct(), "edges")
+            low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+            small = _with_least(large, low, mark[0]).select(
+                F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+            e = stored(small.select(F.col("e.u").alias("u"), F.col("e.v").alias("v")).where("u <> v").distinct(), "edges")

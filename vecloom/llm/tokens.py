@@ -9,12 +9,15 @@ that runs again leaves one whole file; the folder is the shared one.
 
 Encoding goes through the tokenizers library, one pre-token at a time: texts
 are cut where the tokenizer's pattern cuts them and each distinct piece is
-encoded once for a worker.  Texts with other characters than ASCII and the
-letters of Latin-1 are encoded whole by the library.
+encoded once for a worker.  Pieces are known by their bytes, never by a hash
+alone.  Texts with other characters than ASCII and the letters of Latin-1, and
+all texts where the file's rules are other than those that ``cut`` follows,
+are encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workspace import fresh_path, stored
-from .textkernels import WordHasher, pieces, trim, utf8
+from .textkernels import WordHasher, mixed, pieces, trim, utf8
 
 LENGTH, END_ID = 2048, 2
 #: Sequences in a record batch.
 BATCH = 64
-#: Distinct pieces a worker remembers (about 60 bytes each).
-REMEMBERED = 300_000
+#: Distinct pieces a worker remembers (about 80 bytes each), and bytes of those longer than two lanes.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 1 << 24
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 1 << 27
 SPACED = re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
@@ -58,17 +63,18 @@ class PieceTable:
             left, slot = left[go], (slot[go] + np.uint64(1)) & m
         return out
 
-    def add(self, h: np.ndarray) -> None:
-        """Number distinct hashes that the table lacks."""
-        numbers = np.arange(self.count, self.count + len(h))
-        if 2 * (self.count + len(h)) > len(self.keys):
+    def add(self, h: np.ndarray, numbers: np.ndarray | None = None) -> None:
+        """Number distinct hashes that the table lacks, from ``count`` on unless told."""
+        if numbers is None:
+            numbers = np.arange(self.count, self.count + len(h))
+        self.count += len(h)
+        if 2 * self.count > len(self.keys):
             full = self.keys != 0
             h, numbers = np.concatenate([self.keys[full], h]), np.concatenate([self.values[full], numbers])
             slots = len(self.keys)
             while 2 * len(h) > slots:
                 slots *= 2
             self.keys, self.values = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
-        self.count = int(numbers[-1]) + 1 if len(numbers) else self.count
         m = np.uint64(len(self.keys) - 1)
         slot = h & m
         while len(h):
@@ -101,7 +107,9 @@ class Encoder:
     Pieces are found on the bytes of many texts at once, by the rules of the
     tokenizer's pattern: contractions; runs of letters, digits or marks with
     one blank before them; white space, of which the last character stands
-    alone or joins what follows.  Each distinct piece is encoded once.
+    alone or joins what follows.  Each distinct piece is encoded once: one of
+    up to 16 bytes is looked up by a hash and compared with the bytes that are
+    kept there, a longer one is a key of a dictionary.
     """
 
     def __init__(self, path: str):
@@ -112,11 +120,20 @@ class Encoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.classes = byte_classes()
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        before = rules.get("pre_tokenizer") or {}
+        # the rules of ``cut`` are those of a byte-level tokenizer's own pattern, nothing before or around it
+        self.known = (rules.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                      and not before.get("add_prefix_space", True) and rules.get("truncation") is None and rules.get("padding") is None)
         self.hasher = WordHasher(np.zeros(256, bool), fold=False)
         self.clear()
 
     def clear(self) -> None:
         self.table = PieceTable()
+        self.lanes = np.zeros((2, 1 << 16), np.uint64)
+        self.rare: dict[bytes, int] = {}
+        self.rare_bytes = 0
         self.pool, self.filled = np.zeros(1 << 16, self.dtype), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.learnt = 0
@@ -144,6 +161,7 @@ class Encoder:
         self.pool[self.filled:self.filled + len(flat)] = flat
         while self.learnt + len(new) > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)], axis=1)
         at = self.filled + np.cumsum(sizes[order]) - sizes[order]
         self.starts[self.learnt + np.array(order, np.int64)] = at
         self.sizes[self.learnt:self.learnt + len(new)] = sizes
@@ -193,20 +211,42 @@ class Encoder:
                 # a letter run that goes on after the contraction starts anew; white space and marks already do
         return np.flatnonzero(start)
 
+    def _numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each piece's number; pieces met for the first time are learnt."""
+        data, size = self.hasher.padded(raw), ends - starts
+        # texts of the safe alphabet hold no zero byte, so the two lanes are the piece
+        one, two = self.hasher.lane(data, starts, size, 0), self.hasher.lane(data, starts, size, 1)
+        h = mixed(mixed(one ^ np.uint64(WordHasher.BASE)) ^ two) | np.uint64(1)
+        short = size <= 16
+        at = np.where(short, self.table.find(h), -1)
+        if (short & (at < 0)).any():
+            missing = np.flatnonzero(short & (at < 0))
+            new, first = np.unique(h[missing], return_index=True)
+            pick = missing[first]
+            self.table.add(new, np.arange(self.learnt, self.learnt + len(new)))
+            known = self.learnt
+            whole = data.tobytes()
+            self._learn([whole[starts[k]:ends[k]].decode() for k in pick.tolist()])
+            self.lanes[:, known:known + len(pick)] = one[pick], two[pick]
+            at[missing] = self.table.find(h[missing])
+        # long pieces, and such whose hash belongs to another one
+        other = np.flatnonzero(~short | (self.lanes[0][at] != one) | (self.lanes[1][at] != two))
+        if len(other):
+            whole = data.tobytes()
+            keys = [whole[starts[k]:ends[k]] for k in other.tolist()]
+            new = [p for p in dict.fromkeys(keys) if p not in self.rare]
+            self.rare.update({p: self.learnt + k for k, p in enumerate(new)})
+            self.rare_bytes += sum(map(len, new))
+            if new:
+                self._learn([p.decode() for p in new])
+            at[other] = [self.rare[p] for p in keys]
+        return at
+
     def _fast(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(raw):
             return np.zeros(0, self.dtype), np.zeros(len(off) - 1, np.int64)
         starts = self.cut(raw, np.unique(off))
-        ends = np.append(starts[1:], len(raw))
-        h = self.hasher.hashes(raw, starts, ends) | np.uint64(1)
-        at = self.table.find(h)
-        if (at < 0).any():
-            missing = np.flatnonzero(at < 0)
-            new, first = np.unique(h[missing], return_index=True)
-            self.table.add(new)
-            data = raw.tobytes()
-            self._learn([data[starts[k]:ends[k]].decode() for k in missing[first].tolist()])
-            at[missing] = self.table.find(h[missing])
+        at = self._numbers(raw, starts, np.append(starts[1:], len(raw)))
         n = self.sizes[at]
         stop = np.cumsum(n)
         ids = self.pool[np.repeat(self.starts[at] - stop + n, n) + np.arange(int(stop[-1]))]
@@ -215,9 +255,9 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a buffer, one text after the other, and the number of each text."""
-        if self.table.count > REMEMBERED:
+        if self.learnt > REMEMBERED or self.rare_bytes > REMEMBERED_BYTES:
             self.clear()
-        good = self.plain(raw, off)
+        good = self.plain(raw, off) if self.known else np.zeros(len(off) - 1, bool)
         if good.all():
             return self._fast(raw, off)
         n = np.diff(off)
@@ -289,11 +329,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, base: str | None = None,
 
     Documents go in ascending id, null ids first, equal ids by text.  Null and
     empty texts are the end id alone.  Every row is a document, repeated rows
-    too; other columns are not read.  An empty table writes no shard.
+    too; other columns are not read.  An empty table writes no shard.  A very
+    long text is encoded whole, by its own task, and may span many sequences.
+
+    A shard holds some SHARD_BYTES of text, so their number grows with the
+    table; rows of one id (a null id too) are split by the beginnings of their
+    texts.
     """
     spark = docs.sparkSession
     base = base or fresh_path(spark, "tokens")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -329,8 +373,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, base: str | None = None,
         trim()
 
     body = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = body.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    total = body.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    ordered = body.repartitionByRange(parts, "doc_id", F.substring("text", 1, 24)).sortWithinPartitions("doc_id", "text")
     return base, stored(ordered.mapInArrow(rows, "shard string, docs long, tokens long"), "manifest")
 
 
@@ -345,7 +390,8 @@ def read_sequences(base: str, shard: str) -> pa.ipc.RecordBatchFileReader:
 def read_documents(base: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the files.
 
-    ``start`` counts the ids of all documents before it, in all shards.
+    ``start`` counts the ids of all documents before it, in all shards.  An
+    empty manifest gives no rows.
     """
     # a row a shard: the window's one task has as many rows as there are files
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

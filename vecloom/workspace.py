@@ -154,7 +154,3 @@ def shared(spark: SparkSession, value: Any) -> Broadcast:
     """Broadcast an object of this package's classes: pickled by value, so that
     workers need no package to read it.  They call ``pickle.loads`` on it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
-
-
-def released(spark: SparkSession) -> None:
-    """Nothing to do any more: each write's shuffle files go with it."""

@@ -77,6 +77,7 @@ def test_hot_grams_and_stars_in_many_cells(spark, monkeypatch, seed, num):
     monkeypatch.setattr(ngram_join, "LEAST_COMMON", 2)
     monkeypatch.setattr(ngram_join, "HOT", 2)
     monkeypatch.setattr(stars, "STAR", 3)
+    monkeypatch.setattr(stars, "HELD", 5)
     rows = corpus(seed, 220)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=4, num=num, den=100).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows, 4, num, 100)[0]
@@ -137,7 +138,12 @@ def test_edges(spark):
     assert near_duplicates(none(spark)).collect() == [] == keep_one(none(spark)).collect()
 
 
-def test_component_steps(spark):
+@pytest.mark.parametrize("held,star", [(1 << 20, 1024), (40, 7)])
+def test_component_steps(spark, monkeypatch, held, star):
+    from vecloom.llm import components as stars
+
+    monkeypatch.setattr(stars, "HELD", held)
+    monkeypatch.setattr(stars, "STAR", star)
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, 1000 + i) for i in range(1, 200)]

@@ -71,7 +71,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node that is not the least of its component.
 
     ``edges`` has long columns u, v; loops, repeats and either direction are
-    allowed, nulls are ignored.
+    allowed, nulls are ignored.  What is left as HELD edges or fewer after the
+    workers' own contractions is contracted by one of them.
     """
     with scope(edges.sparkSession) as own:
         e = edges.where("u is not null and v is not null and u <> v").select("u", "v")
@@ -79,7 +80,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = None
         while True:
             mark = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-            if mark[0] == 0 or mark == seen:
+            if seen is None and 0 < mark[0] <= HELD:
+                # so few edges are one share, whose stars are the components
+                e = stored(e.coalesce(1).mapInArrow(_local_stars, "u long, v long"), "edges")
+            if mark[0] <= HELD and seen is None or mark == seen:
                 own.keep(e)
                 out = e.select("u", F.col("v").alias("root"))
                 out._scratch = e._scratch

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts turned into features at once.
+ROWS = 400
+
+
 def remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(mod))
@@ -30,19 +34,28 @@ def sample(labels: DataFrame, label: str, train: Column, per_class: tuple[int, i
     return parts[0].unionByName(parts[1]), 0.5 if share is None else float(share)
 
 
+def chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, label, h (the text's hash), text of the chosen documents."""
+    # a sample is bounded by its parameter, so its ids may go to every task
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return picked.select("doc_id", "label", F.xxhash64("text").alias("h"), "text")
+
+
 def gathered(docs: DataFrame, chosen: DataFrame, featurise) -> list:
-    """(features bytes, label) of the chosen documents; the driver gets at most
-    as many rows as the sample's documented bound, in order of id.
+    """(id, features bytes, label) of the chosen documents, in order of id: one
+    for each id, the text of the smallest hash where an id has several, so the
+    driver gets at most as many rows as the sample's documented bound.
 
-    ``featurise`` maps a string array to a list of bytes.
+    ``featurise`` maps a string array to a list of bytes of a bounded size.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats = featurise(batch.column(2))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(feats, pa.binary())], ["doc_id", "label", "x"])
+            for k in range(0, len(batch), ROWS):
+                part = batch.slice(k, ROWS)
+                yield pa.record_batch([*part.columns[:3], pa.array(featurise(part.column(3)), pa.binary())], ["doc_id", "label", "h", "x"])
 
-    # a sample is bounded by its parameter, so its ids may go to every task
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    got = picked.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, x binary").collect()
-    return sorted(((r["doc_id"], bytes(r["x"]), r["label"]) for r in got), key=lambda r: (r[0], r[1]))
+    feats = chosen_texts(docs, chosen).mapInArrow(rows, f"doc_id {kind}, label int, h long, x binary")
+    got = feats.groupBy("doc_id", "label").agg(F.min(F.struct("h", "x")).alias("m")).select("doc_id", "label", "m.x").collect()
+    return sorted(((r["doc_id"], bytes(r["x"]), r["label"]) for r in got), key=lambda r: r[0])

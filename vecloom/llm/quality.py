@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workspace import shared
-from .labelled import gathered, remainder, sample
+from .labelled import ROWS, gathered, remainder, sample
 from .textkernels import SPACES, WordHasher, break_table, pieces, trim, utf8
 
 #: Bounds of the labelled sample, by label.
@@ -143,7 +143,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train, per_class: tuple[int,
             out += [r.tobytes() for r in profile.rows(data, own).astype(np.float16)]
         return out
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     chosen, share = sample(labels, label, train, per_class)
     return fit(gathered(docs, chosen, featurise), share)
 
@@ -151,12 +150,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train, per_class: tuple[int,
 def score_quality(docs: DataFrame, voters: Voters, *, text_col: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` plus ``out``, a double from 0 to 1.
 
-    The score depends on the text alone: equal texts, equal scores.  Null and
-    empty texts get the vote of the nearest labelled texts too.  An existing
-    column of the name ``out`` is replaced.
+    The score depends on the text alone: equal texts, equal scores, so repeated
+    rows and rows without an id are scored like any other.  Null and empty
+    texts get the vote of the nearest labelled texts too; a very long text is
+    profiled whole, by itself.  Of neighbours that tie for the last place any
+    vote.  An empty table stays empty.  An existing column of the name ``out``
+    is replaced.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     sent = shared(spark, voters)
     kept = [c for c in docs.columns if c != out]
     at = kept.index(text_col)
@@ -164,8 +165,10 @@ def score_quality(docs: DataFrame, voters: Voters, *, text_col: str = "text", ou
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, profile = pickle.loads(sent.value), Profile()
         for batch in batches:
-            parts = [model.score(profile.rows(data, own)) for _, _, data, own in pieces(*utf8(batch.column(at)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*batch.schema.names, out])
+            for k in range(0, len(batch), ROWS):
+                part = batch.slice(k, ROWS)
+                scores = [model.score(profile.rows(data, own)) for _, _, data, own in pieces(*utf8(part.column(at)))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(scores))], names=[*batch.schema.names, out])
         trim()
 
     body = docs.select(*[F.col(f"`{c}`") for c in kept])
@@ -173,7 +176,7 @@ def score_quality(docs: DataFrame, voters: Voters, *, text_col: str = "text", ou
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.7) -> DataFrame:
-    """Documents scored ``least`` or more, with their columns."""
+    """Documents scored ``least`` or more, with their columns; rows stay as often as they are there, an empty table stays empty."""
     voters = fit_quality(docs, labels, remainder(F.col("doc_id"), 4) != 2)
     name = "score" + "_" * max(map(len, docs.columns))
     return score_quality(docs, voters, out=name).where(F.col(name) >= least).drop(name)

@@ -94,3 +94,10 @@ def least_score(scores: np.ndarray, y: np.ndarray, precision: float, fewest: int
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1) if len(y) else np.zeros(0)
     ok = np.flatnonzero((right >= precision) & (np.arange(1, len(y) + 1) >= fewest))
     return float(scores[order][ok[-1]]) if len(ok) else 1.1
+
+
+def between(scores: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """``least_score``, moved half way to the next lower score: what lies between was never refuted."""
+    least = least_score(scores, y, precision)
+    below = scores[scores < least]
+    return (least + float(below.max())) / 2 if least <= 1 and len(below) else least

@@ -8,16 +8,19 @@ candidate by its format and its context; they are fitted on a bounded sample
 of the corpus whose weak labels come from the checked patterns, with the
 checks themselves left out of the features.  What only a generator finds is
 unlabelled, not negative: negatives are clear ones (failed checks, dates,
-versions, bare numbers), and a candidate is described in the form that the
-checked patterns know, so that its spelling doesn't give it away.  Thresholds
-are calibrated on held out labelled candidates for a stated precision and
-select the added spans.
+versions, bare numbers, names made of words), and a candidate is described in
+the form that the checked patterns know, so that its spelling doesn't give it
+away; what labels a key, an assignment before it, is no feature of keys.
+Thresholds are calibrated on candidates of texts that the trees haven't seen
+for a stated precision and select the added spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import shared
-from .boosting import Boosted, calibrate, fit, least_score
+from ..workspace import WRITING, settings, shared
+from .boosting import Boosted, between, calibrate, fit
 
 KINDS = ("email", "ip", "card", "phone", "account", "secret")
-#: Documents with a digit or an at sign from which the trees learn, at most.
-SAMPLED = 4000
+#: Texts with a digit or an at sign from which the trees learn, at most, and candidates of one of them.
+SAMPLED, EACH = 4000, 64
 PRECISION = 0.95
+#: Texts handled at once by a worker.
+ROWS = 400
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +54,11 @@ GENERATORS = (
     ("secret", re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_-]{0,60}[0-9])(?=[0-9_-]{0,60}[A-Za-z])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_])")),
 )
 CONTEXT = ("mail", "contact", "call", "phone", "tel", "fax", "card", "visa", "iban", "account", "ip", "host", "server", "token", "key", "secret", "password", "version", "page", "isbn")
+#: Words that label a key when it is assigned to them.
+ASSIGNED = ("token", "key", "secret", "password", "passwd", "pwd")
+ASSIGNS = re.compile(rf"(?i)(?:{'|'.join(ASSIGNED)})['\"]?\s*[=:]\s*['\"]?$")
+#: Parts of a name made of words, of a version or of a date.
+PLAIN_PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}|v[0-9]{1,3}")
 
 
 def luhn(digits: str) -> bool:
@@ -129,9 +139,10 @@ def describe(text: str, span: tuple[int, int, int]) -> list[float]:
     return [
         *(float(kind == k) for k in range(len(KINDS))), len(body), digits, digits / len(body), upper / len(body), len(groups), max(groups), min(groups),
         body.count("."), body.count("-"), body.count(" "), body.count("@"), body.count(":"), float(body.startswith("0")),
-        len(set(body)) / len(body), max((int(g) for g in re.findall(r"[0-9]{1,9}", body)), default=0) if kind == 1 else -1.0,
+        len(set(body)) / len(body) if kind > 3 else -1.0, max((int(g) for g in re.findall(r"[0-9]{1,9}", body)), default=0) if kind == 1 else -1.0,
         float(left in " \n\t(\"'<:" or not left), float(right in " \n\t.,;)\"'>" or not right),
-        *(float(w in words or any(x.startswith(w) for x in words if len(w) > 2)) for w in CONTEXT), float("=" in before[-4:] or ":" in before[-3:]), float(after[:1].isalnum()),
+        *(0.0 if kind == 5 and w in ASSIGNED else float(w in words or any(x.startswith(w) for x in words if len(w) > 2)) for w in CONTEXT),
+        0.0 if kind == 5 else float("=" in before[-4:] or ":" in before[-3:]), float(after[:1].isalnum()),
     ]
 
 
@@ -155,8 +166,8 @@ def clearly_not(text: str, span: tuple[int, int, int], base: set[tuple[int, int,
 def weak_label(text: str, span: tuple[int, int, int], base: set[tuple[int, int, int]]) -> int | None:
     """1 when a checked pattern agrees: the same span for a base kind; for others their own checksum or an assignment.
 
-    Other candidates of a base kind are 0 only if clearly something else, and
-    None, unlabelled, if the checked patterns just don't reach them.
+    Others are 0 only if clearly something else, and None, unlabelled, if the
+    checks just don't reach them.
     """
     s, kind, e = span
     if kind < 4:
@@ -165,7 +176,10 @@ def weak_label(text: str, span: tuple[int, int, int], base: set[tuple[int, int,
     if kind == 4:
         c = body.replace(" ", "")
         return int(int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1)
-    return int(re.search(r"(?i)(token|key|secret|password|passwd|pwd)['\"]?\s*[=:]\s*['\"]?$", text[max(0, s - 24):s]) is not None)
+    if ASSIGNS.search(text[max(0, s - 24):s]):
+        return 1
+    parts = [p for p in re.split(r"[_-]+", body) if p]
+    return 0 if len(parts) > 1 and all(PLAIN_PART.fullmatch(p) for p in parts) else None
 
 
 class Selector:
@@ -175,55 +189,74 @@ class Selector:
         self.model, self.least = model, np.array(least)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates above their thresholds that touch no base span and no better candidate."""
+        """Candidates above their thresholds that touch no base span and no better candidate.
+
+        What is taken is marked on a line as long as the text, so the time
+        grows with the candidates' length and not with their number squared.
+        """
         cand = candidates(text)
         if not cand:
             return []
-        p = self.model.probability(np.array([describe(text, c) for c in cand]))
-        out, taken = [], [(s, e) for s, _, e in base]
+        p = np.concatenate([self.model.probability(np.array([describe(text, c) for c in cand[k:k + 4096]])) for k in range(0, len(cand), 4096)])
+        out, taken = [], bytearray(len(text))
+        for s, _, e in base:
+            taken[s:e] = b"\1" * (e - s)
         for k in np.argsort(-p, kind="stable").tolist():
             s, kind, e = cand[k]
-            if p[k] >= self.least[kind] and not any(s < b and a < e for a, b in taken):
+            if p[k] >= self.least[kind] and taken.find(1, s, e) < 0:
                 out.append(cand[k])
-                taken.append((s, e))
+                taken[s:e] = b"\1" * (e - s)
         return out
 
 
-def fit_selector(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sampled: int = SAMPLED, precision: float = PRECISION) -> Selector:
-    """Trees and thresholds from the ``sampled`` different texts of the smallest hash that have a digit or an at sign."""
+def _few(spans: list[tuple[int, int, int]], most: int) -> list[tuple[int, int, int]]:
+    """At most so many spans, those of the smallest hash."""
+    return spans if len(spans) <= most else sorted(spans, key=lambda c: (zlib.crc32(b"%d:%d" % (c[0], c[1])), c))[:most]
+
+
+def fit_selector(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sampled: int = SAMPLED, precision: float = PRECISION, each: int = EACH) -> Selector:
+    """Trees and thresholds from the ``sampled`` different texts of the smallest hash that have a digit or an at sign.
+
+    A text's candidates are found where it lies; the driver gets ``each`` of
+    them at most.  Half of the texts, by their hash, fit the trees, the others
+    calibrate, with each string once and none that the trees have seen.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            half, x = [], []
-            for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hashes, found, bodies = [], [], []
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base = set(base_spans(text))
-                labelled = ((weak_label(text, c, base), c) for c in candidates(text))
-                own = [[float(y), *describe(text, c)] for y, c in labelled if y is not None]
-                x += own
-                half += [h % 2 == 0] * len(own)
-            yield pa.record_batch([pa.array(half, pa.bool_()), pa.array([np.array(r, np.float32).tobytes() for r in x], pa.binary())], ["half", "x"])
+                labelled = {c: y for c in candidates(text) if (y := weak_label(text, c, base)) is not None}
+                hashes.append(h)
+                few = _few(list(labelled), each)
+                found.append(np.array([[float(labelled[c]), *describe(text, c)] for c in few], np.float32).tobytes())
+                bodies.append(b"".join(hashlib.blake2b(f"{c[1]}:{text[c[0]:c[2]]}".encode(), digest_size=8).digest() for c in few))
+            yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(found, pa.binary()), pa.array(bodies, pa.binary())], ["h", "x", "body"])
 
     text = F.col(f"`{text_col}`")
-    usable = docs.where(text.rlike("[0-9@]")).select(text.alias("text"), F.xxhash64(text).alias("h"))
-    # hashes of different texts are even, so twice the sample's share of them holds the sample: only about so many texts meet in one task
-    share = min(1.0, 2 * sampled / max(1, usable.select("h").distinct().count()))
-    cut = (1 << 63) - 1 if share == 1.0 else int(share * 2.0**64) - (1 << 63)
-    # copies go before the limit: they would take places of other texts, and lie on both sides of the calibration
-    chosen = usable.where(F.col("h") <= cut).dropDuplicates(["h"]).orderBy("h").limit(sampled)
-    got = chosen.select("text", "h").mapInArrow(rows, "half boolean, x binary").collect()
-    if not got:
+    usable = docs.where(text.rlike("[0-9@]")).select(F.xxhash64(text).alias("h"), text.alias("text"))
+    # hashes alone are ordered; of copies, which a sample may hold in any number, one task after the other keeps one
+    chosen = usable.select("h").distinct().orderBy("h").limit(sampled).select(F.col("h").alias("_h"))
+    picked = usable.join(F.broadcast(chosen), F.col("h") == F.col("_h")).select("h", "text")
+    with settings(docs.sparkSession, WRITING):
+        got = picked.mapInArrow(rows, "h long, x binary, body binary").groupBy("h").agg(F.min(F.struct("x", "body")).alias("m")).select("h", "m.*").collect()
+    width = 1 + len(describe("0", (0, 0, 1)))
+    parts = sorted(((r["h"], np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, width), np.frombuffer(bytes(r["body"]), np.int64)) for r in got if r["x"]), key=lambda p: p[0])
+    if not parts:
         return Selector(Boosted(base=-10.0), [1.1] * len(KINDS))
-    got = sorted((bytes(r["x"]), r["half"]) for r in got)
-    data = np.stack([np.frombuffer(b, np.float32) for b, _ in got])
-    half = np.array([h for _, h in got])
-    x, y = data[:, 1:].astype(float), data[:, 0].astype(float)
-    model = fit(x[half], y[half])
-    calibrate(model, x[~half], y[~half])
-    p = model.probability(x[~half])
+    data, body = np.concatenate([x for _, x, _ in parts]), np.concatenate([b for _, _, b in parts])
+    half = np.repeat([h % 2 == 0 for h, _, _ in parts], [len(x) for _, x, _ in parts])
+    first = np.unique(body[~half], return_index=True)[1]
+    fitted, tested = data[half], data[~half][np.sort(first[~np.isin(body[~half][first], body[half])])]
+    x, y, tx, ty = fitted[:, 1:].astype(float), fitted[:, 0].astype(float), tested[:, 1:].astype(float), tested[:, 0].astype(float)
+    model = fit(x, y)
+    calibrate(model, tx, ty)
+    p = model.probability(tx)
     least = []
     for k in range(len(KINDS)):
-        own = x[~half][:, k] == 1
-        least.append(max(0.5, least_score(p[own], y[~half][own], precision)))
+        own = tx[:, k] == 1
+        least.append(max(0.5, between(p[own], ty[own], precision)))
     return Selector(model, least)
 
 
@@ -233,31 +266,36 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, selector: Selector, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, base counts n_email, n_ip, n_card, n_phone, base and spans (written; code points, end exclusive).
+    """Per row: id, base counts n_email, n_ip, n_card, n_phone, n_added (spans of the method), base and spans (written; code points, end exclusive).
 
-    Null and empty texts have none.  Rows stay one for one; other columns are
-    not read.
+    Null and empty texts have none.  Rows stay one for one, repeated rows and
+    rows without an id included; other columns are not read; an empty table
+    stays empty.  A very long text is searched whole, in time that grows with
+    its length.  Candidates of equal probability are taken from left to right.
     """
     sent = shared(docs.sparkSession, selector)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     body = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    numbers = ("n_email", "n_ip", "n_card", "n_phone", "n_added")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chooser = pickle.loads(sent.value)
         for batch in batches:
-            counts, base_out, spans_out = [[], [], [], []], [], []
-            for text in batch.column(1).to_pylist():
-                base = base_spans(text) if text else []
-                more = chooser.added(text, base) if text else []
-                for k in range(4):
-                    counts[k].append(sum(b[1] == k for b in base))
-                base_out.append(written(base))
-                spans_out.append(written(base + more))
-            yield pa.record_batch(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_out, pa.string()), pa.array(spans_out, pa.string())],
-                [id_col, "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
-
-    schema = T.StructType([body.schema[id_col], *(T.StructField(n, T.LongType()) for n in ("n_email", "n_ip", "n_card", "n_phone")), T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                counts, base_out, spans_out = [[], [], [], [], []], [], []
+                for text in part.column(1).to_pylist():
+                    base = base_spans(text) if text else []
+                    more = chooser.added(text, base) if text else []
+                    for k in range(4):
+                        counts[k].append(sum(b[1] == k for b in base))
+                    counts[4].append(len(more))
+                    base_out.append(written(base))
+                    spans_out.append(written(base + more))
+                yield pa.record_batch(
+                    [part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_out, pa.string()), pa.array(spans_out, pa.string())],
+                    [id_col, *numbers, "base", "spans"])
+
+    schema = T.StructType([body.schema[id_col], *(T.StructField(n, T.LongType()) for n in numbers), T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
     return body.mapInArrow(rows, schema)
 
 
@@ -273,7 +311,11 @@ def redact(text: str, spans: str) -> str:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document."""
+    """Personal data in every document; n_spans counts all spans, the method's among them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs, fit_selector(docs))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    counts = ("n_email", "n_ip", "n_card", "n_phone")
+    every = F.col("n_added")
+    for c in counts:
+        every = every + F.col(c)
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", every.alias("n_spans"))

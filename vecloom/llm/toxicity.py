@@ -6,9 +6,10 @@ texts take part: a text that names an identity group is copied with the term
 swapped for another of its kind, one that names none with a term inserted and
 with another of the kind in its place.  Copies keep the label, so a group's
 name is seen as often in clean as in toxic texts, and the squared change of
-the score between the two of a pair is a part of the loss.  A term so gets no
-weight of its own and none that another of its kind has not, and neutral
-mentions of a group don't raise the score.
+the score between the two of a pair, and between either and a text that named
+none, is a part of the loss.  A term so gets no weight of its own and none
+that another of its kind has not, and neutral mentions of a group don't raise
+the score.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ MOST_WORDS, LEAST_TEXTS = 2000, 4
 #: Pairs of counterfactual copies of texts that name a term, at most; pairs of each label for each term that is inserted;
 #: and the weight of a copy beside the texts themselves.
 COPIED, EACH, COPY_WEIGHT = 1500, 10, 0.2
-LASSO, RIDGE, SWAPPED, STEPS = 1e-3, 2e-6, 1.0, 1000
+LASSO, RIDGE, SWAPPED, STEPS = 1e-3, 2e-6, 4.0, 1000
 
 #: Terms that may stand for one another, by kind.
 IDENTITIES = (
@@ -202,8 +203,8 @@ def fit(sets: list[np.ndarray], y: np.ndarray, identities=IDENTITIES, words: np.
         for row, has, not_ in ((n + 2 * k, ia, ib), (n + 2 * k + 1, ib, ia)):
             x[row] = x[i]
             x[row, not_], x[row, has] = 0, 1
-        # the two copies' scores differ by the two weights
-        laplacian[[ia, ib], [ia, ib]] += 1
+        # the two copies' scores differ by the two weights, and from a text that names neither by one each
+        laplacian[[ia, ib], [ia, ib]] += 1 if x[i, ia] else 2
         laplacian[[ia, ib], [ib, ia]] -= 1
     laplacian *= SWAPPED / max(1, len(pairs))
     whole = np.concatenate([y, np.repeat(y[owner], 2)])

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vecloom.llm import telephony, tokens
 from vecloom.llm.telephony import decode_media, describe_media, ima_decode, read_wave, resampled, store_media, wave
@@ -56,26 +57,46 @@ def test_media_round_trip(spark, codec):
     back = sorted(bytes(read_wave(bytes(r["media"]))[2])[:r["n_bytes"]] for r in got)
     assert back == texts and all(len(read_wave(bytes(r["media"]))[2]) % unit == 0 for r in got)
     pcm = decode_media(stored).collect()
-    assert all(len(r["pcm"]) > 0 and r["sample_rate"] == 16000 for r in pcm) and "media" not in decode_media(stored).columns
+    assert all(len(r["pcm"]) > 0 and r["sample_rate"] == 16000 for r in pcm) and decode_media(stored.drop("media").withColumn("media", F.lit(None).cast("binary"))).first()["pcm"] is None
     assert store_media(none(spark), codec=codec).collect() == []
     with pytest.raises(ValueError):
         read_wave(b"RIFFxxxx")
 
 
-def test_op5_digests(spark):
-    df = edgy(spark)
-    got = {}
-    for r in describe_media(store_media(df)).collect():
-        got.setdefault(r["doc_id"], r)
+def pcm_of(media):
+    """One file's samples, block by block and sample by sample."""
+    codec, rate, payload, block = read_wave(media)
+    if codec == "ima":
+        x = [v for k in range(0, len(payload), block) for v in ima_one(bytes(payload[k:k + block]))]
+    else:
+        x = [int({"mulaw": telephony.mulaw_table, "alaw": telephony.alaw_table}[codec]()[b]) for b in payload]
+    return [v for k, a in enumerate(x) for v in (a, (a + x[k + 1]) >> 1 if k + 1 < len(x) else a)]
+
+
+@pytest.mark.parametrize("held", [1 << 22, 500])
+def test_op5_digests(spark, monkeypatch, held):
+    """All three codecs; digests and features against files and samples made one by one."""
+    monkeypatch.setattr(telephony, "HELD", held)
+    extra = spark.createDataFrame([(100 + i, f"text {i} " * i) for i in range(40)], "doc_id long, text string")
+    df = edgy(spark).select("doc_id", "text").where("doc_id is null or doc_id <> 5").unionByName(extra)
+    stored = telephony.store_pcm(store_media(df, codec=None))
+    got, used = {}, set()
+    for r in describe_media(stored).collect():
+        got.setdefault((r["doc_id"], r["n_bytes"]), r)
+    assert len(stored.collect()) == df.count()
     for r in df.collect():
         raw = (r["text"] or "").encode()
         want = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        if r["doc_id"] is None:
-            continue
-        g = got[r["doc_id"]]
-        assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
-        media = wave(want, "mulaw")
+        g = got[r["doc_id"], len(raw)]
+        assert (g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        codec = telephony.dealt(want)
+        media = wave(want, codec, block=64)
         assert (g["media_bytes"], g["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert bytes(read_wave(media)[2]) == want
+        assert g["feature"] == f"codec={codec};" + telephony.features(np.array(pcm_of(media), np.int16))
+        used.add(codec)
+    assert used == {"mulaw", "alaw", "ima"}
+    assert describe_media(telephony.store_pcm(store_media(none(spark), codec=None))).collect() == []
 
 
 def own_tokenizer():

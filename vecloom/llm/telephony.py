@@ -7,7 +7,9 @@ the samples of a block, each step over all blocks).  Decoded PCM is resampled
 by linear interpolation and stored as 16-bit samples.
 
 Files live in a binary column; a table of them is written to the shared folder
-and read back, so tasks that lose their executor find what was stored.
+and read back, and so is a table of their PCM, so tasks that lose their
+executor find what was stored.  Which codec a text gets is dealt by a checksum
+of the text, unless one is asked for.
 """
 
 from __future__ import annotations
@@ -19,15 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import stored
+from ..workspace import scope, stored
 
 RATE, OUT_RATE = 8000, 16000
 TAGS = {"alaw": 6, "mulaw": 7, "ima": 17}
-IMA_BLOCK = 256
+#: Bytes of a block in files of one codec, and where codecs are dealt: there a payload's unit is one block.
+IMA_BLOCK, DEALT_BLOCK = 256, 64
+#: Bytes of files, and of PCM, that a worker holds at once, about.
+HELD = 1 << 22
+#: Stored tables are compressed: PCM takes several times the room of its file.
+COMPRESSED = {"compression": "zstd"}
 
 # Step sizes and index changes of IMA ADPCM.
 IMA_STEPS = (
@@ -73,32 +81,32 @@ def ima_decode(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
-def wave(payload: bytes, codec: str, rate: int = RATE) -> bytes:
+def wave(payload: bytes, codec: str, rate: int = RATE, block: int = IMA_BLOCK) -> bytes:
     """A WAVE file whose data chunk is the payload, untouched."""
     tag = TAGS[codec]
     if codec == "ima":
-        per = 1 + 2 * (IMA_BLOCK - 4)
-        fmt = struct.pack("<HHIIHHHH", tag, 1, rate, rate * IMA_BLOCK // per, IMA_BLOCK, 4, 2, per)
-        samples = len(payload) // IMA_BLOCK * per
+        per = 1 + 2 * (block - 4)
+        fmt = struct.pack("<HHIIHHHH", tag, 1, rate, rate * block // per, block, 4, 2, per)
+        samples = len(payload) // block * per
     else:
         fmt, samples = struct.pack("<HHIIHHH", tag, 1, rate, rate, 1, 8, 0), len(payload)
     body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, samples) + b"data" + struct.pack("<I", len(payload)) + payload
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_wave(media: bytes) -> tuple[str, int, memoryview]:
-    """Codec, rate and payload (a view, not a copy) of a WAVE file."""
+def read_wave(media: bytes) -> tuple[str, int, memoryview, int]:
+    """Codec, rate, payload (a view, not a copy) and bytes of a block of a WAVE file."""
     view = memoryview(media)
     if len(view) < 12 or view[:4] != b"RIFF" or view[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
-    at, codec, rate = 12, None, RATE
+    at, codec, rate, block = 12, None, RATE, 1
     while at + 8 <= len(view):
         name, size = bytes(view[at:at + 4]), int.from_bytes(view[at + 4:at + 8], "little")
         if name == b"fmt ":
-            tag, _, rate = struct.unpack_from("<HHI", view, at + 8)
+            tag, _, rate, _, block = struct.unpack_from("<HHIIH", view, at + 8)
             codec = {v: k for k, v in TAGS.items()}[tag]
         elif name == b"data":
-            return codec, rate, view[at + 8:at + 8 + size]
+            return codec, rate, view[at + 8:at + 8 + size], block
         at += 8 + size + (size & 1)
     raise ValueError("no data chunk")
 
@@ -109,11 +117,22 @@ class Decoder:
     def __init__(self):
         self.tables = {"mulaw": mulaw_table(), "alaw": alaw_table()}
 
-    def pcm(self, codec: str, payload: memoryview) -> np.ndarray:
-        raw = np.frombuffer(payload, np.uint8)
-        if codec == "ima":
-            return ima_decode(raw[:len(raw) // IMA_BLOCK * IMA_BLOCK].reshape(-1, IMA_BLOCK)).ravel()
-        return self.tables[codec][raw]
+    def pcm(self, files: list[tuple[str, memoryview, int]]) -> list[np.ndarray]:
+        """Samples of (codec, payload, block) files; blocks of all files of one size are decoded together."""
+        out: list = [None] * len(files)
+        ima: dict[int, list[int]] = {}
+        for k, (codec, payload, block) in enumerate(files):
+            raw = np.frombuffer(payload, np.uint8)
+            if codec == "ima":
+                ima.setdefault(block, []).append(k)
+                out[k] = raw[:len(raw) // block * block].reshape(-1, block)
+            else:
+                out[k] = self.tables[codec][raw]
+        for own in ima.values():
+            samples = ima_decode(np.concatenate([out[k] for k in own]))
+            for k, part in zip(own, np.split(samples, np.cumsum([len(out[k]) for k in own])[:-1])):
+                out[k] = part.ravel()
+        return out
 
 
 def resampled(pcm: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
@@ -136,50 +155,81 @@ def padded(data: bytes, unit: int = 64) -> bytes:
     return data + bytes(max(unit, -(-len(data) // unit) * unit) - len(data))
 
 
-def store_media(docs: DataFrame, *, codec: str = "mulaw", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dealt(payload: bytes) -> str:
+    """The codec that a payload gets."""
+    return sorted(TAGS)[zlib.crc32(payload) % len(TAGS)]
+
+
+def _runs(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a batch of some HELD bytes each, with their starts; a larger row is a slice of its own."""
+    first = held = 0
+    for k, n in enumerate(sizes):
+        if k > first and held + n > HELD:
+            yield first, batch.slice(first, k - first)
+            first, held = k, 0
+        held += n
+    if len(batch):
+        yield first, batch.slice(first)
+
+
+def _sizes(column: pa.Array) -> list[int]:
+    return [n or 0 for n in pa.compute.binary_length(column).to_pylist()]
+
+
+def store_media(docs: DataFrame, *, codec: str | None = "mulaw", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, media: each text's UTF-8 bytes, padded, as the samples of a
     WAVE file, written to the shared folder and read back.
 
     Null and empty texts are 64 zero bytes.  Rows stay one for one, repeated
-    rows and null ids included; other columns are not read.  For ``ima`` the
-    padding goes to whole blocks of 256 bytes.
+    rows and null ids included; other columns are not read; an empty table
+    stays empty.  A very long text is one file.  For ``ima`` the padding goes
+    to whole blocks of 256 bytes; where ``codec`` is None it is dealt by the
+    payload, and blocks have 64 bytes.
     """
     unit = IMA_BLOCK if codec == "ima" else 64
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
-            media = [wave(padded(t, unit), codec) for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
+            for _, part in _runs(batch, _sizes(batch.column(1))):
+                texts = part.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+                whole = [padded(t, unit) for t in texts]
+                media = [wave(p, codec or dealt(p), block=DEALT_BLOCK if codec is None else IMA_BLOCK) for p in whole]
+                yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     body = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     schema = T.StructType([body.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return stored(body.mapInArrow(rows, schema), "media")
+    return stored(body.mapInArrow(rows, schema), "media", **COMPRESSED)
 
 
 def decode_media(media: DataFrame, *, out_rate: int = OUT_RATE, media_col: str = "media") -> DataFrame:
-    """All columns of ``media`` except the files, plus sample_rate and pcm (little-endian
-    16-bit samples at ``out_rate``).  A null file has a null pcm."""
+    """All columns of ``media``, plus sample_rate and pcm (little-endian 16-bit
+    samples at ``out_rate``; existing columns of these names are replaced).
+
+    A null file has a null pcm.  Rows stay one for one; an empty table stays
+    empty.  A file that is no WAVE file fails the job.
+    """
     kept = [c for c in media.columns if c not in (media_col, "sample_rate", "pcm")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder()
         for batch in batches:
-            pcm = []
-            for m in batch.column(len(kept)).to_pylist():
-                if m is not None:
-                    codec, rate, payload = read_wave(m)
-                    m = resampled(decoder.pcm(codec, payload), rate, out_rate).tobytes()
-                pcm.append(m)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([out_rate] * len(batch), pa.int32()), pa.array(pcm, pa.binary())], names=[*kept, "sample_rate", "pcm"])
+            for _, part in _runs(batch, _sizes(batch.column(len(kept)))):
+                files = [m and read_wave(m) for m in part.column(len(kept)).to_pylist()]
+                samples = iter(decoder.pcm([(c, p, n) for c, _, p, n in filter(None, files)]))
+                pcm = [f and resampled(next(samples), f[1], out_rate).tobytes() for f in files]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([out_rate] * len(part), pa.int32()), pa.array(pcm, pa.binary())], names=[*kept, media_col, "sample_rate", "pcm"])
 
     body = media.select(*[F.col(f"`{c}`") for c in [*kept, media_col]])
-    schema = T.StructType([*body.schema.fields[:-1], T.StructField("sample_rate", T.IntegerType()), T.StructField("pcm", T.BinaryType())])
+    schema = T.StructType([*body.schema.fields, T.StructField("sample_rate", T.IntegerType()), T.StructField("pcm", T.BinaryType())])
     return body.mapInArrow(rows, schema)
 
 
+def store_pcm(media: DataFrame, *, out_rate: int = OUT_RATE, media_col: str = "media") -> DataFrame:
+    """``decode_media`` written to the shared folder beside the files and read back."""
+    return stored(decode_media(media, out_rate=out_rate, media_col=media_col), "pcm", **COMPRESSED)
+
+
 def features(pcm: np.ndarray) -> str:
     """Peak, root mean square, mean, zero crossings and crc32 of samples, all from whole numbers."""
     wide = pcm.astype(np.int64)
@@ -189,23 +239,26 @@ def features(pcm: np.ndarray) -> str:
             f"mean={int(wide.sum()) // n};zc={crossings};crc={zlib.crc32(pcm.tobytes())}")
 
 
-def describe_media(media: DataFrame, *, id_col: str = "doc_id", out_rate: int = OUT_RATE) -> DataFrame:
-    """Digests of stored files and of what their samples decode to."""
+def describe_media(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """Digests of stored files, of the payloads read back from them, and features of the stored PCM (see ``store_pcm``).
+
+    Rows stay one for one, an empty table stays empty.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder()
         for batch in batches:
-            cols = [[], [], [], [], [], []]
-            for m in batch.column(2).to_pylist():
-                codec, rate, payload = read_wave(m)
-                pcm = resampled(decoder.pcm(codec, payload), rate, out_rate)
-                for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(pcm))):
-                    c.append(v)
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())))],
-                [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    body = media.select(F.col(f"`{id_col}`"), "n_bytes", "media")
+            for _, part in _runs(batch, _sizes(batch.column(3))):
+                cols = [[], [], [], [], [], []]
+                for m, pcm in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    codec, _, payload, _ = read_wave(m)
+                    about = f"codec={codec};{features(np.frombuffer(pcm, '<i2'))}"
+                    for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), about)):
+                        c.append(v)
+                yield pa.record_batch(
+                    [part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())))],
+                    [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    body = media.select(F.col(f"`{id_col}`"), "n_bytes", "media", "pcm")
     schema = T.StructType([*body.schema.fields[:2], *(T.StructField(n, t) for n, t in (
         ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()),
         ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())))])
@@ -213,5 +266,8 @@ def describe_media(media: DataFrame, *, id_col: str = "doc_id", out_rate: int =
 
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as mu-law samples, read back, decoded and described."""
-    return describe_media(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Every text stored as samples of a dealt codec, read back, decoded, stored as PCM, read back and described."""
+    with scope(spark) as own:
+        pcm = store_pcm(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), codec=None))
+        own.keep(pcm)
+        return describe_media(pcm)

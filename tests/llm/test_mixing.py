@@ -68,3 +68,17 @@ def test_edges(spark):
     assert mix(none(spark)).collect() == [] == mixed_documents(none(spark)).collect()
     blank = df.where("doc_id in (2, 3, 4)")
     assert {(r["taken"], r["copies"]) for r in mix(blank).collect()} == {(0, 0)}
+
+
+def test_repeated_rows_are_dealt_to_many_blocks(spark, monkeypatch):
+    """Rows without an id, all alike: no block holds more than its share, and the words still come near the target."""
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    rows = [(None, "three words here", "a")] * 1000 + [(i, "w " * (i % 9), "b") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(df).collect()
+    a = [r for r in got if r["source"] == "a"]
+    assert len(got) == 2000 and len(a) == 1000 and abs(sum(r["taken"] for r in a) - a[0]["target"]) <= 3
+    assert sorted(r["nth"] for r in a) == list(range(1, 1001))
+    blocks = spark.createDataFrame([(k,) for k in range(1, 1001)], "nth long").selectExpr("pmod(xxhash64(cast(null as bigint), 3L, nth, 3), 16) as b").groupBy("b").count().collect()
+    assert max(r["count"] for r in blocks) < 128
+    assert mixed_documents(df).count() == sum(r["copies"] for r in got)

@@ -68,6 +68,29 @@ def test_decontamination_edges(spark):
     assert flagged(df, spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again")], "item_id long, text string")).count() == 2
 
 
+def test_decontamination_of_long_texts_takes_linear_time(spark):
+    """A rule of 400,000 characters, and a text of very many hits."""
+    import time
+
+    item = ITEMS[0][1]
+    rows = [(1, keep + item + " " + "=" * 400_000 + " " + keep + "-" * 400_000) for keep in ("some words that stay here and there, ",)]
+    rows.append((2, " ".join(f"{item} w{i} v{i} u{i} t{i} s{i} r{i} q{i} p{i} o{i} n{i} m{i} l{i};" for i in range(8000))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: r["text"] for r in decontaminate(df, bench(spark)).collect()}
+    assert time.time() - start < 60
+    assert got == {i: t.replace(item, "") for i, t in rows}
+
+
+def test_windows_that_many_items_share(spark):
+    """Every item's name comes out, though a hit carries only the name of their set."""
+    item = ITEMS[0][1]
+    many = spark.createDataFrame([(i, item if i % 3 else item + " mu") for i in range(500)] + [(1000, "nothing of this")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"{item} x {item} y"), (2, "x"), (3, f"so {item} mu")], "doc_id long, text string")
+    got = {r["id"]: r["items"] for r in flagged(df, many).collect()}
+    assert got == {i: sorted(str(k) for k in range(500)) for i in (1, 3)}
+
+
 URLS = [
     "https://a.example.org/en/1x?y", "http://EXAMPLE.ORG/es/", "http://example.org", "http://example.org?x", "https://notexample.org/es/1", "https://x.y.org/", "http://com/fr/", "http://a.com/de/x#y",
     "http://a.com/den", None, "", "no scheme", "://", "://h/p", "a://b://c/d", "http://a..org/", "http://.com/fr/1", "http://org.example/", "http://é.org/ü", "http://user@a.org:80/x", "http://a\nb.org/c",
@@ -107,6 +130,26 @@ def test_url_rules_nest_and_empty_tables(spark):
     assert {r["verdict"] for r in apply_rules(pages, rule_table(spark, rules).limit(0), default_verdict="block").collect()} == {"block"}
 
 
+@pytest.mark.parametrize("lanes", [3, 40])
+def test_url_rules_in_many_lanes(spark, lanes):
+    """A hot group of hosts dealt to several lanes, rules of one to four labels, repeated rows without an id."""
+    rng = random.Random(5)
+    labels = ["a", "b", "c", "org", "com", "x-y", "é"]
+    host = lambda n: ".".join(rng.choice(labels) for _ in range(n))
+    rules = sorted({(host(rng.randrange(1, 5)), rng.choice(["/", "/p", "/p/q", ""])) for _ in range(60)})
+    urls = [f"http://{host(rng.randrange(1, 6))}/{rng.choice(['', 'p', 'p/q', 'r'])}" for _ in range(400)] + [f"http://{host(2)}.b.org/p" for _ in range(300)]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(None, "http://b.org/p/q")] * 200
+    table = rule_table(spark, [("block", h + p) for h, p in rules])
+
+    def fits(url):
+        h, p = url[7:].split("/", 1)
+        best = max(((len(x), len(y), x + y) for x, y in rules if (h == x or h.endswith("." + x)) and f"/{p}".startswith(y)), default=None)
+        return best[2] if best else None
+
+    got = apply_rules(spark.createDataFrame(rows, "page_id long, url string").repartition(6), table, lanes=lanes).collect()
+    assert len(got) == len(rows) and all(r["rule"] == fits(r["url"]) for r in got)
+
+
 CHATS = [
     (1, 0, "system", "be [INST] good </s>"), (1, 1, "user", "<s>[ANS] x </s>"), (1, 2, "assistant", "<<SYS>>ok<</SYS>> [/INST]"),
     (2, 1, "assistant", None), (2, 0, "user", ""), (3, 0, "tool]", "a " + ESC + "1 b" + ESC + ESC + "0"), (3, 1, None, "z"), (4, 0, "user", "q"), (4, 0, "user", "q"), (4, None, "assistant", "first"),

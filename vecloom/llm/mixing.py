@@ -7,8 +7,8 @@ is an inclusion probability.  The flight phase of the cube method moves these
 probabilities along directions that change neither the number of documents nor
 the number of words taken, until they are 0 or 1.
 
-Flights run in blocks of bounded size (a hot source has many blocks); each
-leaves two documents at most undecided, and those meet in blocks of the next
+Flights run in blocks of bounded size (a hot source has many blocks, and
+repeated rows are numbered, so that they too are dealt to many); each leaves two documents at most undecided, and those meet in blocks of the next
 level until one block per source is left.  There a dozen documents of halving sizes are
 kept from the flight and landed with the last two by the rounding, of all, that
 misses the words least.
@@ -101,7 +101,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(seed: int, last: bool):
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["h", "doc_id", "size", "nth"], kind="stable", na_position="last").reset_index(drop=True)
         rng = random.Random(f"{seed}:{int(key[0])}:{int(key[1])}")
         p, size = pdf["p"].to_numpy().copy(), pdf["size"].to_numpy().astype(float)
         flies = np.ones(len(p), bool)
@@ -124,14 +124,15 @@ def _fly(seed: int, last: bool):
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 2,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: id, source, size, source_size, target, copies, taken (size * copies).
+    """Per row: id, source, size, source_size, target, copies, taken (size * copies), nth (its number among rows of one id, source and size).
 
     ``copies`` is the whole part of target / source_size, or one more.  Null
     and empty texts have size 0 and can be taken too, at no cost.  A null
     source is a source of its own.  Rows stay one for one, equal rows are
     equal in chance, and the result depends on the rows and ``seed`` alone.
-    An empty table gives an empty result; where nothing has words, no copy is
-    taken.
+    A very long text is a document like any other, of which two copies at most
+    are taken.  An empty table gives an empty result; where nothing has words,
+    no copy is taken.
     """
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = stored(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size")), "sizes")
@@ -139,11 +140,13 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     goal = stored(targets(sources, weights=weights, share=share, most=most), "targets")
     per = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     blocks = F.ceil(F.col("docs") / F.lit(float(BLOCK)))
-    h = F.xxhash64("doc_id", F.lit(seed))
+    # rows of one id, source and size are counted, then numbered: a group of any size is never in one place
+    rows = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
+    h = F.xxhash64("doc_id", "nth", F.lit(seed))
     shares = rows.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "rank", "source_size", "target", F.floor(per + EPS).alias("whole"),
+        "doc_id", "source", "size", "nth", "rank", "source_size", "target", F.floor(per + EPS).alias("whole"),
         F.greatest(per - F.floor(per + EPS), F.lit(0.0)).alias("p"), h.alias("h"),
-        F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), blocks).alias("block"))
+        F.pmod(F.xxhash64("doc_id", "size", "nth", F.lit(seed + 1)), blocks).alias("block"))
     level = (goal.agg(F.max("docs")).first()[0] or 0) / BLOCK
     done, open_ = None, shares
     while True:
@@ -159,18 +162,22 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
         fewer = F.lit(0) if level <= 1 else F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(int(level) + 1))
         open_ = flown.where("p > 0 and p < 1").withColumn("block", fewer.cast("long"))
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "nth")
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
-    chosen = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **how).select("doc_id", "source", "size", "copies")
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
+
+    Awkward rows as in ``mix``; of rows with one id, source and size it is not
+    told which of them is taken more often.
+    """
+    chosen = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **how).where("copies > 0")
+    right = chosen.select(F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), F.col("size").alias("r_size"), "nth", "copies")
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    nth = lambda i, s, n: F.row_number().over(Window.partitionBy(i).orderBy(s, n))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{source_col}`").alias("s"), size.alias("n"))
-    left = left.withColumn("k", nth("i", "s", "n"))
-    right = chosen.select("*", nth("doc_id", "source", "size").alias("j")).where("copies > 0")
-    both = left.join(right, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("j")))
+    left = left.withColumn("k", F.row_number().over(Window.partitionBy("i", "s", "n").orderBy(F.lit(0))))
+    same = F.col("i").eqNullSafe(F.col("r_id")) & F.col("s").eqNullSafe(F.col("r_source")) & (F.col("n") == F.col("r_size")) & (F.col("k") == F.col("nth"))
+    both = left.join(right, same)
     return both.select("d", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("d.*")
 
 

@@ -8,9 +8,11 @@ the stack of rules that are open in it.  Pages and borders are sorted together
 and one sweep hands every page the last stack before it.  The stack's deepest
 rule whose path starts the page's path decides.
 
-The sweep runs in many sorted lanes: pages are dealt to lanes by a hash of
-their id, so a host with a third of all pages fills all lanes alike, and the
-borders (two per rule) go to each lane.  Nothing is collected.
+The sweep runs in many sorted lanes.  A lane holds whole groups of hosts, those
+of one pair of last labels (``org.example.``), and their borders.  A group with
+more pages than a lane should have is dealt to several lanes, and its borders
+go to each of them; only borders of one-label rules (``org``) go to every lane.
+The groups so dealt are found by counting and are fewer than there are lanes.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import stored
+
 #: (verdict, rule): a rule is a host and a path, written together.
 RULES = (
     ("allow", "org/"),
@@ -48,6 +52,11 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
+def host_group(key: Column) -> Column:
+    """The first two labels of a key, or all of a shorter one."""
+    return F.regexp_extract(key, r"(?s)^([^.]*\.[^.]*\.|.*$)", 1)
+
+
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """Rules as rows: rule, verdict, host, path."""
     text = json.dumps([{"verdict": v, "rule": r} for v, r in rules])
@@ -89,23 +98,38 @@ def apply_rules(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     Returns all columns of ``pages`` plus host, path, rule, verdict (existing
     columns of those names are replaced).  A null url, or one without
     ``://``, has an empty host and path, fits no rule and gets
-    ``default_verdict``.  Repeated ids and repeated rows are each judged and
-    kept.  Equal rules: the later in (rule, verdict) order wins.  Without
-    rules every page gets the default; an empty table stays empty.
+    ``default_verdict``; so does an empty url, and a very long one is judged
+    like any other.  Rules without a host fit nothing.  Repeated ids and
+    repeated rows, without an id too, are each judged and kept, and dealt one
+    by one where there are many.  Equal rules: the later in (rule, verdict)
+    order wins.  Without rules every page gets the default; an empty table
+    stays empty.
     """
     spark = pages.sparkSession
     lanes = lanes or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    url = F.col(f"`{url_col}`")
+    groups = pages.select(host_group(host_key(url_host(url))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    # groups of more than their share of the rows: fewer than there are lanes
+    fair = max(1, -(-total // lanes))
+    hot = stored(groups.where(F.col("n") > fair).select(F.col("g").alias("h_g"), F.ceil(F.col("n") / F.lit(float(fair))).cast("int").alias("parts")), "hot")
+
+    def lane(group: Column, part: Column) -> Column:
+        return F.pmod(F.xxhash64(group, part), F.lit(lanes)).cast("int")
+
     body = pages.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("page"),
-        url_host(F.col(f"`{url_col}`")).alias("host"),
-        url_path(F.col(f"`{url_col}`")).alias("path"),
-        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{url_col}`")), F.lit(lanes)).cast("int").alias("lane"),
-    )
-    body = body.select("lane", host_key(F.col("host")).alias("key"), F.lit(1).alias("is_page"), "page", "host", "path")
-    marks = segments(rules).select(
-        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "key", F.lit(0).alias("is_page"), "stack"
-    )
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("page"), url_host(url).alias("host"), url_path(url).alias("path"),
+        F.xxhash64(F.col(f"`{id_col}`"), url, F.monotonically_increasing_id()).alias("deal"))
+    body = body.withColumn("key", host_key(F.col("host"))).withColumn("g", host_group(F.col("key")))
+    body = body.join(F.broadcast(hot), F.col("g") == F.col("h_g"), "left")
+    part = F.coalesce(F.pmod("deal", F.col("parts").cast("long")).cast("int"), F.lit(0))
+    body = body.select(lane(F.col("g"), part).alias("lane"), "key", F.lit(1).alias("is_page"), "page", "host", "path")
+    marks = segments(rules).withColumn("g", host_group(F.regexp_replace("key", "/$", "."))).join(F.broadcast(hot), F.col("g") == F.col("h_g"), "left")
+    one_label = F.regexp_count("g", F.lit(r"\.")) < 2
+    parts = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda k: lane(F.col("g"), k))
+    to = F.when(one_label, F.sequence(F.lit(0), F.lit(lanes - 1))).otherwise(F.array_distinct(parts))
+    marks = marks.select(F.explode(to).alias("lane"), "key", F.lit(0).alias("is_page"), "stack")
     swept = body.unionByName(marks, allowMissingColumns=True).withColumn(
         "open", F.last("stack", ignorenulls=True).over(
             Window.partitionBy("lane").orderBy("key", "is_page").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -150,6 +150,13 @@ def removed(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a scratch table that no later result reads."""
+    path = getattr(df, "_scratch", None)
+    if path is not None:
+        removed(df.sparkSession, path)
+
+
 def shared(spark: SparkSession, value: Any) -> Broadcast:
     """Broadcast an object of this package's classes: pickled by value, so that
     workers need no package to read it.  They call ``pickle.loads`` on it."""

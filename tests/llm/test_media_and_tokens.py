@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.llm import telephony, tokens
-from vecloom.llm.telephony import decode_media, describe_media, ima_decode, read_wave, resampled, store_media, wave
+from vecloom.llm.telephony import decode_media, describe_pcm, ima_decode, read_wave, resampled, store_media, store_pcm, wave
 from vecloom.llm.textkernels import Shingler, WordHasher, break_table, pieces, utf8
 
 from .cases import edgy, none
@@ -43,6 +43,7 @@ def test_ima_blocks_against_one_by_one():
 def test_resampling():
     x = np.array([0, 10, -20, 7], np.int16)
     assert resampled(x, 8000, 16000).tolist() == [0, 5, 10, -5, -20, -7, 7, 7]
+    assert resampled(x, 16000, 8000).tolist() == [5, -7] and resampled(x[:3], 16000, 8000).tolist() == [5]
     assert resampled(x, 8000, 8000) is x and len(resampled(x, 8000, 12000)) == 6 and len(resampled(x[:0], 8000, 16000)) == 0
 
 
@@ -70,7 +71,7 @@ def pcm_of(media):
         x = [v for k in range(0, len(payload), block) for v in ima_one(bytes(payload[k:k + block]))]
     else:
         x = [int({"mulaw": telephony.mulaw_table, "alaw": telephony.alaw_table}[codec]()[b]) for b in payload]
-    return [v for k, a in enumerate(x) for v in (a, (a + x[k + 1]) >> 1 if k + 1 < len(x) else a)]
+    return x if rate == 8000 else [(a + b) >> 1 for a, b in zip(x[::2], x[1::2])]
 
 
 @pytest.mark.parametrize("held", [1 << 22, 500])
@@ -79,9 +80,9 @@ def test_op5_digests(spark, monkeypatch, held):
     monkeypatch.setattr(telephony, "HELD", held)
     extra = spark.createDataFrame([(100 + i, f"text {i} " * i) for i in range(40)], "doc_id long, text string")
     df = edgy(spark).select("doc_id", "text").where("doc_id is null or doc_id <> 5").unionByName(extra)
-    stored = telephony.store_pcm(store_media(df, codec=None))
+    stored = store_pcm(store_media(df, codec=None))
     got, used = {}, set()
-    for r in describe_media(stored).collect():
+    for r in describe_pcm(stored).collect():
         got.setdefault((r["doc_id"], r["n_bytes"]), r)
     assert len(stored.collect()) == df.count()
     for r in df.collect():
@@ -90,13 +91,13 @@ def test_op5_digests(spark, monkeypatch, held):
         g = got[r["doc_id"], len(raw)]
         assert (g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
         codec = telephony.dealt(want)
-        media = wave(want, codec, block=64)
+        media = wave(want, codec, telephony.DEALT_RATES[codec], 64)
         assert (g["media_bytes"], g["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
         assert bytes(read_wave(media)[2]) == want
-        assert g["feature"] == f"codec={codec};" + telephony.features(np.array(pcm_of(media), np.int16))
+        assert g["feature"] == f"codec={codec};rate=8000;" + telephony.features(np.array(pcm_of(media), np.int16))
         used.add(codec)
     assert used == {"mulaw", "alaw", "ima"}
-    assert describe_media(telephony.store_pcm(store_media(none(spark), codec=None))).collect() == []
+    assert describe_pcm(store_pcm(store_media(none(spark), codec=None))).collect() == []
 
 
 def own_tokenizer():

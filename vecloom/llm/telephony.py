@@ -9,7 +9,9 @@ by linear interpolation and stored as 16-bit samples.
 Files live in a binary column; a table of them is written to the shared folder
 and read back, and so is a table of their PCM, so tasks that lose their
 executor find what was stored.  Which codec a text gets is dealt by a checksum
-of the text, unless one is asked for.
+of the text, unless one is asked for; dealt files of mu-law and A-law have the
+8 kHz of telephone lines, those of ADPCM 16 kHz, and their PCM is brought to
+one rate.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ from pyspark.sql import types as T
 from ..workspace import scope, stored
 
 RATE, OUT_RATE = 8000, 16000
+#: Rates of dealt files, and the rate to which they are brought.
+DEALT_RATES, COMMON_RATE = {"alaw": 8000, "mulaw": 8000, "ima": 16000}, 8000
 TAGS = {"alaw": 6, "mulaw": 7, "ima": 17}
 #: Bytes of a block in files of one codec, and where codecs are dealt: there a payload's unit is one block.
 IMA_BLOCK, DEALT_BLOCK = 256, 64
 #: Bytes of files, and of PCM, that a worker holds at once, about.
 HELD = 1 << 22
 #: Stored tables are compressed: PCM takes several times the room of its file.
-COMPRESSED = {"compression": "zstd"}
+COMPRESSED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 # Step sizes and index changes of IMA ADPCM.
 IMA_STEPS = (
@@ -136,7 +140,7 @@ class Decoder:
 
 
 def resampled(pcm: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
-    """Linear interpolation to another rate."""
+    """Linear interpolation to another rate; the mean of two samples for half the rate."""
     if rate == out_rate or not len(pcm):
         return pcm
     if out_rate == 2 * rate:
@@ -146,6 +150,9 @@ def resampled(pcm: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
         out[1:-1:2] = (wide[:-1] + wide[1:]) >> 1
         out[-1] = pcm[-1]
         return out
+    if rate == 2 * out_rate:
+        wide = pcm[:len(pcm) // 2 * 2].astype(np.int32)
+        return ((wide[::2] + wide[1::2]) >> 1).astype(np.int16)
     at = np.arange(len(pcm) * out_rate // rate) * (rate / out_rate)
     return np.round(np.interp(at, np.arange(len(pcm)), pcm)).astype(np.int16)
 
@@ -184,7 +191,7 @@ def store_media(docs: DataFrame, *, codec: str | None = "mulaw", id_col: str = "
     rows and null ids included; other columns are not read; an empty table
     stays empty.  A very long text is one file.  For ``ima`` the padding goes
     to whole blocks of 256 bytes; where ``codec`` is None it is dealt by the
-    payload, and blocks have 64 bytes.
+    payload, and ADPCM blocks have 64 bytes.
     """
     unit = IMA_BLOCK if codec == "ima" else 64
 
@@ -193,7 +200,7 @@ def store_media(docs: DataFrame, *, codec: str | None = "mulaw", id_col: str = "
             for _, part in _runs(batch, _sizes(batch.column(1))):
                 texts = part.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
                 whole = [padded(t, unit) for t in texts]
-                media = [wave(p, codec or dealt(p), block=DEALT_BLOCK if codec is None else IMA_BLOCK) for p in whole]
+                media = [wave(p, codec) if codec else wave(p, d := dealt(p), DEALT_RATES[d], DEALT_BLOCK) for p in whole]
                 yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
 
     body = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
@@ -225,11 +232,6 @@ def decode_media(media: DataFrame, *, out_rate: int = OUT_RATE, media_col: str =
     return body.mapInArrow(rows, schema)
 
 
-def store_pcm(media: DataFrame, *, out_rate: int = OUT_RATE, media_col: str = "media") -> DataFrame:
-    """``decode_media`` written to the shared folder beside the files and read back."""
-    return stored(decode_media(media, out_rate=out_rate, media_col=media_col), "pcm", **COMPRESSED)
-
-
 def features(pcm: np.ndarray) -> str:
     """Peak, root mean square, mean, zero crossings and crc32 of samples, all from whole numbers."""
     wide = pcm.astype(np.int64)
@@ -239,29 +241,44 @@ def features(pcm: np.ndarray) -> str:
             f"mean={int(wide.sum()) // n};zc={crossings};crc={zlib.crc32(pcm.tobytes())}")
 
 
-def describe_media(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Digests of stored files, of the payloads read back from them, and features of the stored PCM (see ``store_pcm``).
+def store_pcm(media: DataFrame, *, id_col: str = "doc_id", out_rate: int = COMMON_RATE) -> DataFrame:
+    """id, n_bytes, digests of each stored file and of the payload read back from it, codec, sample_rate, pcm: written to the shared folder and read back.
 
-    Rows stay one for one, an empty table stays empty.
+    Rows stay one for one, an empty table stays empty.  A null file, or one
+    that is no WAVE file, fails the job.
     """
+    digests = (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()),
+               ("codec", T.StringType()), ("sample_rate", T.IntegerType()), ("pcm", T.BinaryType()))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder()
+        for batch in batches:
+            for _, part in _runs(batch, _sizes(batch.column(2))):
+                held = part.column(2).to_pylist()
+                files = [read_wave(m) for m in held]
+                samples = decoder.pcm([(c, p, n) for c, _, p, n in files])
+                out = [
+                    (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), c, out_rate, resampled(x, rate, out_rate).tobytes())
+                    for m, (c, rate, p, _), x in zip(held, files, samples)]
+                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(v, t) for v, t in zip(zip(*out), kinds))], [id_col, "n_bytes", *(n for n, _ in digests)])
+
+    body = media.select(F.col(f"`{id_col}`"), "n_bytes", "media")
+    schema = T.StructType([*body.schema.fields[:2], *(T.StructField(n, t) for n, t in digests)])
+    return stored(body.mapInArrow(rows, schema), "pcm", **COMPRESSED)
+
+
+def describe_pcm(pcm: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """The digests of ``store_pcm`` with features of the stored samples.  Rows stay one for one, an empty table stays empty."""
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in _runs(batch, _sizes(batch.column(3))):
-                cols = [[], [], [], [], [], []]
-                for m, pcm in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    codec, _, payload, _ = read_wave(m)
-                    about = f"codec={codec};{features(np.frombuffer(pcm, '<i2'))}"
-                    for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), about)):
-                        c.append(v)
-                yield pa.record_batch(
-                    [part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())))],
-                    [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    body = media.select(F.col(f"`{id_col}`"), "n_bytes", "media", "pcm")
-    schema = T.StructType([*body.schema.fields[:2], *(T.StructField(n, t) for n, t in (
-        ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()),
-        ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())))])
+            about = [f"codec={c};rate={r};{features(np.frombuffer(x.as_buffer(), '<i2'))}" for c, r, x in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), batch.column(9))]
+            yield pa.record_batch([*batch.columns[:7], pa.array(about, pa.string())], [id_col, *names, "feature"])
+
+    body = pcm.select(F.col(f"`{id_col}`"), *names, "codec", "sample_rate", "pcm")
+    schema = T.StructType([*body.schema.fields[:7], T.StructField("feature", T.StringType())])
     return body.mapInArrow(rows, schema)
 
 
@@ -270,4 +287,4 @@ def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scope(spark) as own:
         pcm = store_pcm(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), codec=None))
         own.keep(pcm)
-        return describe_media(pcm)
+        return describe_pcm(pcm)

@@ -39,7 +39,7 @@ IMA_BLOCK, DEALT_BLOCK = 256, 64
 #: Bytes of files, and of PCM, that a worker holds at once, about.
 HELD = 1 << 22
 #: Stored tables are compressed: PCM takes several times the room of its file.
-COMPRESSED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+COMPRESSED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(1 << 22)}
 
 # Step sizes and index changes of IMA ADPCM.
 IMA_STEPS = (

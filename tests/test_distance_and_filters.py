@@ -43,15 +43,44 @@ def test_search_is_exact(vectors, metric):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "dot"])
-def test_batch_strategies_agree(spark, vectors, metric):
+def test_batch_strategies_agree(spark, vectors, metric, monkeypatch):
+    """In one block, in many, and grouped in a join: the very distances of single queries, and their order."""
     x, df = vectors
     qs = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in (0, 3, 7, 11)], "query_id int, embedding array<float>")
-    a = {(r.query_id, r["rank"]): (r.vector_id, r.distance) for r in knn.search_batch(df, qs, 8, metric=metric).collect()}
-    b = {(r.query_id, r["rank"]): (r.vector_id, r.distance) for r in knn.search_matrix(df, qs, 8, metric=metric, block=17).collect()}
-    assert a.keys() == b.keys() and len(a) == 32
-    for key, (who, d) in a.items():
-        assert abs(d - b[key][1]) < 1e-9
-        assert who == b[key][0] or abs(d - b[key][1]) < 1e-12
+    one = {(i, n + 1): (r.vector_id, r.distance) for i in (0, 3, 7, 11) for n, r in enumerate(knn.search(df, x[i].tolist(), 8, metric=metric).collect())}
+
+    def batch():
+        return {(r.query_id, r["rank"]): (r.vector_id, r.distance) for r in knn.search_batch(df, qs, 8, metric=metric).collect()}
+
+    assert batch() == one
+    monkeypatch.setattr(knn, "BLOCK", 17)
+    assert batch() == one
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 8 * 12 * 2)
+    assert batch() == one
+    with pytest.raises(ValueError):
+        knn.search_batch(df, spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "query_id int, embedding array<float>"), 3)
+    assert knn.search_batch(df, qs.limit(0), 3).collect() == [] == knn.search_batch(df.limit(0), qs, 3).collect()
+
+
+def test_equal_vectors_are_ordered_by_id(spark):
+    same = spark.range(9000).select(F.col("id").alias("vector_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"))
+    qs = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 0.0])], "query_id int, embedding array<float>")
+    got = knn.search_batch(same, qs, 3).collect()
+    assert sorted((r.query_id, r["rank"], r.vector_id) for r in got) == [(q, k + 1, k) for q in (1, 2) for k in range(3)]
+
+
+def test_very_many_queries_in_bounded_memory(spark):
+    """200,000 queries of 128 dimensions: several groups, blocks of a bounded size."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 128)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vector_id int, embedding array<float>").cache()
+    turn = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: F.when(k == F.col("id") % 128, 1.0).otherwise(0.0).cast("float"))
+    qs = spark.range(200_000).select(F.col("id").alias("query_id"), turn.alias("embedding"))
+    assert knn.query_groups(qs, "query_id", "embedding")[1] == 4
+    got = knn.search_batch(df, qs, 2, metric="dot").groupBy((F.col("query_id") % 128).alias("d"), "rank").agg(F.count(F.lit(1)).alias("n"), F.min("vector_id").alias("lo"), F.max("vector_id").alias("hi")).collect()
+    assert sum(r.n for r in got) == 400_000
+    for r in got:
+        assert r.lo == r.hi == np.argsort(-x[:, r.d], kind="stable")[r["rank"] - 1]
 
 
 def test_zero_vector_ties_and_short_results(spark, vectors):

@@ -13,9 +13,10 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_approximate_queries(spark, sf):
-    assert set(catalog.queries()) - set(SQL) == {"ann_lsh", "ann_hnsw", "ann_recall", "ann_layer_stats"}
-    for r in catalog.queries()["ann_recall"](spark, sf).collect():
-        assert r["recall"] >= 0.85
+    assert set(catalog.queries()) - set(SQL) == {"ann_lsh", "ann_hnsw", "ann_lsh_filtered", "ann_hnsw_filtered", "ann_recall", "ann_layer_stats"}
+    odd = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("label % 2 = 1").select("vec_id").collect()}
+    for name in ("ann_lsh_filtered", "ann_hnsw_filtered"):
+        assert {r["vec_id"] for r in catalog.queries()[name](spark, sf).collect()} <= odd
 
 
 def test_entry_point(spark):

@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterable, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,11 @@ from .functions.predicates import apply_filter, compile_filter
 from .operators import ann, knn, ring, stats
 from .operators.changes import DELETE, INSERT, live
 from .sources.store import Store
+from .workspace import stored
+
+
+#: Numbers (rows times dimensions) that the driver may hold: 128 MB.
+LOCAL_CELLS = 1 << 24
 
 
 class Collection:
@@ -26,6 +33,15 @@ class Collection:
     size and ring statistics are reported for; storage and execution are
     Spark's.  After every ``snapshot_interval`` log entries an append also
     compacts.
+
+    ``strategy`` is exact, lsh, hnsw, or auto: exact up to ``ann.EXACT_ROWS``
+    rows and graphs beyond.  Graphs are kept by partition with the version that
+    they reach; what was written since is searched exactly and merged.
+
+    A collection of up to LOCAL_CELLS numbers that is asked again without a
+    write between is held on the driver, and single queries are answered
+    there with the same arithmetic; a filtered query, and one to a larger
+    collection, is a Spark job.
     """
 
     def __init__(self, spark: SparkSession, path: str, dim: int = 128, *, metric: str = "cosine", num_partitions: int = PARTITIONS, backup_count: int = 1,
@@ -36,7 +52,11 @@ class Collection:
         self.num_partitions, self.backup_count, self.nodes = num_partitions, backup_count, sorted(set(nodes))
         self.metadata, self.snapshot_interval, self.strategy = metadata, snapshot_interval, ann.check_strategy(strategy)
         self.store = Store(spark, path, metadata or T.VariantType())
-        self._graphs: tuple[Any, DataFrame] | None = None
+        # graphs, the version that each partition's reach, and the snapshot of rows held on the driver
+        self._graphs: DataFrame | None = None
+        self._reached: dict[int, int] = {}
+        self._asked: Any = None
+        self._held: tuple[Any, ...] | None = None
         self._pending = self.store.entries_since_snapshot() if self.store.segments() else 0
 
     def __enter__(self) -> Collection:
@@ -141,18 +161,65 @@ class Collection:
             raise ValueError(f"query of length {len(query)}, not {self.dim}")
         knn.check_k(k)
 
+    def _mark(self) -> tuple:
+        """What tells one state of the store from another."""
+        return tuple(self.store.segments()), tuple(self.store.snapshots())
+
+    def _local(self) -> tuple[Any, ...] | None:
+        """Ids, vectors, partitions and metadata (as JSON) of a small collection that is asked again in the same state."""
+        mark = self._mark()
+        if self._held is not None and self._held[0] == mark:
+            return self._held if len(self._held) > 1 else None
+        if self._asked != mark:
+            self._asked = mark
+            return None
+        rows = self.scan()
+        self._held = (mark,)
+        if rows.limit(LOCAL_CELLS // self.dim + 1).count() > LOCAL_CELLS // self.dim:
+            return None
+        text = F.to_json("metadata")
+        # metadata comes back from JSON: only where that gives the same values (1.0 may come back as 1)
+        back = F.parse_json(text) if self.metadata is None else F.from_json(text, self.metadata)
+        shape = lambda m: F.regexp_replace(F.schema_of_variant(m), r"BIGINT|DECIMAL\([0-9]+,[0-9]+\)", "NUMBER")
+        same = shape(F.col("metadata")).eqNullSafe(shape(back)) if self.metadata is None else F.col("metadata").eqNullSafe(back)
+        got = rows.where("embedding is not null").select("vector_id", "embedding", "partition_id", text.alias("m"), same.alias("same")).toArrow()
+        if got.num_rows and not all(got["same"].to_pylist()):
+            return None
+        got = got.sort_by("vector_id")
+        flat = got["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0)
+        self._held = mark, np.array(got["vector_id"].to_pylist(), object), flat.reshape(-1, self.dim).astype(np.float64), got["partition_id"].to_pylist(), got["m"].to_pylist()
+        return self._held
+
+    def _search_local(self, held: tuple[Any, ...], query: Sequence[float], k: int) -> DataFrame:
+        _, ids, x, parts, meta = held
+        q = np.asarray(query, np.float32).astype(np.float64)[None]
+        # rows are held in the order of their ids
+        _, dist, at = knn.block_nearest(x, np.arange(len(ids)), q, k, self.metric) if len(ids) else (None, np.zeros(0), np.zeros(0, np.int64))
+        owners = [self.nodes[parts[i] % len(self.nodes)] if self.nodes else None for i in at]
+        table = pa.table({"vector_id": pa.array(ids[at].tolist(), pa.string()), "distance": pa.array(dist), "m": pa.array([meta[i] for i in at], pa.string()), "partition_id": pa.array([parts[i] for i in at], pa.int32()), "source_node": pa.array(owners, pa.string())})
+        back = F.parse_json("m") if self.metadata is None else F.from_json("m", self.metadata)
+        return self.spark.createDataFrame(table).select("vector_id", "distance", back.alias("metadata"), "partition_id", "source_node")
+
+    def _strategy(self) -> str:
+        if self.strategy != "auto":
+            return self.strategy
+        return "exact" if self.store.state().limit(ann.EXACT_ROWS + 1).count() <= ann.EXACT_ROWS else "hnsw"
+
     def search(self, query: Sequence[float], k: int = 10, *, where: Any = None, ef: int | None = None) -> DataFrame:
         """The k nearest live rows: vector_id, distance, metadata, partition_id, source_node.
 
-        Exact unless the collection's strategy is approximate and there is no
-        filter; a filter is always applied before the k nearest are chosen.
+        A filter is applied before the k nearest are chosen, whatever the
+        strategy.
         """
         self._check(query, k)
+        held = self._local() if where is None and self.strategy in ("auto", "exact") else None
+        if held is not None:
+            return self._search_local(held, query, k)
         rows = self.scan()
         compile_filter(where, rows)
-        if self.strategy in ("lsh", "hnsw") and where is None:
+        if self._strategy() in ("lsh", "hnsw"):
             one = self.spark.createDataFrame([(0, [float(x) for x in query])], "query_id int, embedding array<float>")
-            found = self.search_batch(one, k, ef=ef).drop("query_id", "rank")
+            found = self.search_batch(one, k, where=where, ef=ef).drop("query_id", "rank")
             near = found.join(rows.select("vector_id", "metadata", "partition_id"), "vector_id")
         else:
             near = apply_filter(rows, where).select("vector_id", distance(F.col("embedding"), as_vector(query), self.metric, literal_norm(query)).alias("distance"), "metadata", "partition_id")
@@ -160,21 +227,39 @@ class Collection:
 
     def search_batch(self, queries: DataFrame, k: int = 10, *, where: Any = None, ef: int | None = None) -> DataFrame:
         """query_id, vector_id, distance, rank for queries of (query_id, embedding)."""
-        rows = self.scan()
-        if where is None and self.strategy == "lsh":
-            return ann.search_lsh(rows, queries, k, self.dim, metric=self.metric)
-        if where is None and self.strategy == "hnsw":
-            return ann.search_graphs(self.graphs(), queries, k, metric=self.metric, ef=ef)
+        rows, strategy = self.scan(), self._strategy()
+        if strategy == "lsh":
+            return ann.search_lsh(rows, queries, k, self.dim, metric=self.metric, where=where, metadata="metadata")
+        if strategy == "hnsw":
+            return self._search_graphs(queries, k, where, ef)
         return knn.search_matrix(rows, queries, k, metric=self.metric, where=where, metadata="metadata")
 
-    def graphs(self) -> DataFrame:
-        """The graphs of the current rows, built once for a state of the store and kept in the shared folder."""
-        from .workspace import stored
+    def _search_graphs(self, queries: DataFrame, k: int, where: Any, ef: int | None) -> DataFrame:
+        graphs = self.graphs()
+        changed = [p for p, v in self._versions().items() if v > self._reached.get(p, 0)]
+        if not changed and where is None:
+            return ann.search_graphs(graphs, queries, k, metric=self.metric, ef=ef)
+        # a row a partition
+        reached = F.broadcast(self.spark.createDataFrame([(-1, 0), *self._reached.items()], "_p int, _upto long"))
+        rows = apply_filter(self.scan(), where, "metadata").join(reached, F.col("partition_id") == F.col("_p"), "left")
+        old = F.col("version") <= F.coalesce("_upto", F.lit(0))
+        allowed = rows.where(old).select("vector_id", F.col("partition_id").alias("part"))
+        if where is None:
+            allowed = allowed.where(F.col("part").isin(changed))
+        found = ann.search_graphs(graphs, queries, k, metric=self.metric, ef=ef, allowed=allowed, limited=changed if where is None else None)
+        fresh = knn.search_matrix(rows.where(~old), queries, k, metric=self.metric)
+        return knn._top(found.drop("rank").unionByName(fresh.drop("rank")), ["query_id"], k, "vector_id")
+
+    def _versions(self) -> dict[int, int]:
+        """The version of each partition that has one: a row a partition."""
+        return {r["partition_id"]: r["version"] for r in self.store.versions().collect()}
 
-        mark = (tuple(self.store.segments()), tuple(self.store.snapshots()))
-        if self._graphs is None or self._graphs[0] != mark:
-            self._graphs = mark, stored(ann.build_graphs(self.scan(), metric=self.metric), "graphs")
-        return self._graphs[1]
+    def graphs(self) -> DataFrame:
+        """The graphs, by partition, built once and kept in the shared folder; see ``rebuild_partition``."""
+        if self._graphs is None:
+            reached = self._versions()
+            self._graphs, self._reached = stored(ann.build_graphs(self.scan(), metric=self.metric, by="partition_id"), "graphs"), reached
+        return self._graphs
 
     # statistics and administration
 
@@ -203,9 +288,21 @@ class Collection:
         return self.scan().where(F.col("partition_id") == partition_id), version
 
     def rebuild_partition(self, partition_id: int) -> bool:
-        """Fold the log and drop the graphs built so far; False for a partition that doesn't exist or has no owner."""
+        """Build the partition's graphs anew from its live rows, if graphs are in use; False for a partition that doesn't exist or has no owner.
+
+        Other partitions' graphs stay.  Writes that come meanwhile have higher
+        versions than the one noted before, and are searched exactly.
+        """
         if not 0 <= partition_id < self.num_partitions or not self.nodes:
             return False
-        self.compact()
-        self._graphs = None
+        if self._graphs is not None:
+            version = self._versions().get(partition_id, 0)
+            own = stored(ann.build_graphs(self.scan().where(F.col("partition_id") == partition_id), metric=self.metric, by="partition_id"), "graphs")
+            self._graphs = self._graphs.where(F.col("part") != partition_id).unionByName(own)
+            self._reached = {**self._reached, partition_id: version}
         return True
+
+    def remove_partition(self, partition_id: int) -> int:
+        """Delete all rows of a partition; returns their number.  Its version goes on."""
+        rows = self.store.state().where(F.col("partition_id") == partition_id).select("vector_id")
+        return self.delete_many(rows) if not rows.isEmpty() else 0

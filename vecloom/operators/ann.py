@@ -1,26 +1,28 @@
-"""Approximate neighbours: random-hyperplane hashing, and graphs per shard.
+"""Approximate neighbours: random-hyperplane hashing with several probes, and graphs per shard.
 
-Both answer a query set against all rows and end with exact distances of their
+Both take filters and answer a query set against all rows and end with exact distances of their
 candidates; ``knn.recall_at_k`` measures them against the exact search, which
 stays the default.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.distance import check_metric, distance
-from .knn import BROADCAST_CELLS, _block_distances, _top, check_k
+from ..functions.distance import check_metric
+from .knn import _top, check_k, exact_distances, query_groups, search_matrix
 
 STRATEGIES = ("auto", "exact", "lsh", "hnsw")
 #: Rows up to which "auto" stays exact, and rows of a graph's shard.
@@ -33,55 +35,63 @@ def check_strategy(name: str) -> str:
     return name
 
 
-def _codes(tables: int, bits: int, dim: int, seed: int):
-    """Function from an (n, dim) matrix to (n, tables) bucket numbers."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-    weights = 1 << np.arange(bits, dtype=np.int64)
+class Hyperplanes:
+    """Codes of vectors by the sides of random hyperplanes, and the codes that a query looks up: its own and the likeliest others."""
 
-    def codes(x: np.ndarray) -> np.ndarray:
-        return ((x @ planes > 0).reshape(len(x), tables, bits) * weights).sum(2)
+    def __init__(self, dim: int, tables: int, bits: int, probes: int, seed: int):
+        self.tables, self.bits, self.probes = tables, bits, probes
+        self.planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+        flips = [1 << i for i in range(bits)] + [1 << i | 1 << j for i in range(bits) for j in range(i)]
+        self.flips = np.array(flips, np.int64)
+        self.sets = (self.flips[:, None] >> np.arange(bits) & 1).astype(np.float64)
 
-    return codes
+    def sides(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.planes).reshape(len(x), self.tables, self.bits)
 
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return ((self.sides(x) > 0) * (1 << np.arange(self.bits, dtype=np.int64))).sum(2)
 
-def lsh_buckets(vectors: DataFrame, dim: int, *, id_col: str = "vector_id", col: str = "embedding", tables: int = 20, bits: int = 4, seed: int = 7) -> DataFrame:
-    """id, embedding, codes (a bucket number per table)."""
-    codes = _codes(tables, bits, dim, seed)
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        """(queries, tables, 1 + probes) codes: one or two sides flipped, those nearest to the query first."""
+        side = self.sides(q)
+        own = ((side > 0) * (1 << np.arange(self.bits, dtype=np.int64))).sum(2)
+        cost = (side ** 2) @ self.sets.T
+        first = np.argsort(cost, axis=2, kind="stable")[:, :, :self.probes]
+        return np.concatenate([own[:, :, None], own[:, :, None] ^ self.flips[first]], axis=2)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(codes(x)), pa.list_(pa.int64()))], [id_col, col, "codes"])
 
-    body = vectors.where(F.col(col).isNotNull()).select(id_col, col)
-    return body.mapInArrow(rows, T.StructType([*body.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))]))
+@functools.cache
+def _planes(dim: int, tables: int, bits: int, probes: int, seed: int) -> Hyperplanes:
+    return Hyperplanes(dim, tables, bits, probes, seed)
 
 
 def search_lsh(vectors: DataFrame, queries: DataFrame, k: int, dim: int, *, metric: str = "cosine", id_col: str = "vector_id", col: str = "embedding",
-               query_id: str = "query_id", tables: int = 20, bits: int = 4, seed: int = 7) -> DataFrame:
-    """query_id, id, distance, rank among rows that share a bucket with the query in any table.
+               query_id: str = "query_id", tables: int = 32, bits: int = 9, probes: int = 16, seed: int = 7, where: Any = None, metadata: str | None = None) -> DataFrame:
+    """query_id, id, distance, rank among rows that have one of the query's codes in any table.
 
-    The bucketed queries are broadcast in chunks of bounded size, dealt by a
-    hash of the query's id; the vectors aren't shuffled, only candidates are.
+    Candidates of all tables are joined in a task, block by block as in
+    ``knn.search_matrix``, so a pair is looked at once and only k rows a query
+    leave the task.  ``where`` is applied before.
     """
     check_k(k)
     check_metric(metric)
-    many = BROADCAST_CELLS // (dim + tables)
-    n = queries.count()
-    # chunks by hash are not quite even: half full on average, unless one holds all
-    chunks = 1 if n <= many else -(-2 * n // many)
-    how = {"tables": tables, "bits": bits, "seed": seed}
-    mine = lsh_buckets(vectors, dim, id_col=id_col, col=col, **how)
-    asked = lsh_buckets(queries.withColumnRenamed(query_id, "query_id"), dim, id_col="query_id", **how).select("query_id", F.col("embedding").alias("_q"), F.posexplode("codes").alias("_t", "_c"))
-    spots = mine.select(id_col, F.col(col).alias("_v"), F.posexplode("codes").alias("_t", "_c"))
-    out = None
-    for c in range(chunks):
-        part = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == c)
-        near = spots.join(F.broadcast(part), ["_t", "_c"]).select("query_id", id_col, distance(F.col("_v"), F.col("_q"), metric).alias("distance"))
-        got = _top(near.distinct(), ["query_id"], k, id_col)
-        out = got if out is None else out.unionByName(got)
-    return out
+
+    def candidates(v: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+        planes = _planes(dim, tables, bits, probes, seed)
+        mine, asked = planes.codes(v), planes.probed(q)
+        met = np.zeros((len(q), len(v)), bool)
+        owner = np.repeat(np.arange(len(q)), asked.shape[2])
+        for t in range(tables):
+            code = asked[:, t].ravel()
+            order = np.argsort(code, kind="stable")
+            lo, hi = np.searchsorted(code[order], mine[:, t], "left"), np.searchsorted(code[order], mine[:, t], "right")
+            n = hi - lo
+            row = np.repeat(np.arange(len(v)), n)
+            spot = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            met[owner[order][spot], row] = True
+        return np.nonzero(met)
+
+    return search_matrix(vectors, queries, k, metric=metric, id_col=id_col, col=col, query_id=query_id, where=where, metadata=metadata, candidates=candidates)
 
 
 class Graph:
@@ -207,60 +217,85 @@ class Graph:
         return self
 
 
-def build_graphs(vectors: DataFrame, *, metric: str = "cosine", id_col: str = "vector_id", col: str = "embedding", shard_rows: int = SHARD_ROWS, m: int = 16, ef_build: int = 100, seed: int = 7) -> DataFrame:
-    """shard, ids, graph (bytes), layers: one row a shard of about ``shard_rows`` rows, dealt by a hash of the id.
+def build_graphs(vectors: DataFrame, *, metric: str = "cosine", id_col: str = "vector_id", col: str = "embedding", shard_rows: int = SHARD_ROWS, m: int = 16, ef_build: int = 100, seed: int = 7, by: str | None = None) -> DataFrame:
+    """part, shard, shards, ids, graph (bytes), layers: one row a shard of about ``shard_rows`` rows, dealt by a hash of the id.
 
-    Rows of a shard are sorted by id and levels are drawn from ``seed``, so a
-    rebuilt shard is the same graph.
+    With ``by`` each value of that column (``part``, a whole number) has
+    shards of its own; else part is 0.  Rows of a shard are sorted by id and
+    levels are drawn from ``seed``, so a rebuilt shard is the same graph.
     """
     check_metric(metric)
-    body = vectors.where(F.col(col).isNotNull()).select(id_col, col)
-    shards = max(1, -(-body.count() // shard_rows))
+    body = vectors.where(F.col(col).isNotNull()).select(id_col, col, (F.col(by) if by else F.lit(0)).cast("int").alias("part"))
+    # a row a part
+    sizes = body.groupBy("part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(shard_rows))), F.lit(1)).cast("int").alias("shards"))
     ids_type = T.ArrayType(vectors.schema[id_col].dataType)
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("ids", ids_type), T.StructField("graph", T.BinaryType()),
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("shards", T.IntegerType()), T.StructField("ids", ids_type), T.StructField("graph", T.BinaryType()),
                            T.StructField("layers", T.ArrayType(T.StructType([T.StructField("layer", T.IntegerType()), T.StructField("nodes", T.LongType()), T.StructField("avg_neighbors", T.DoubleType())])))])
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col, kind="stable")
         graph = Graph(np.stack(pdf[col].to_numpy()), metric, m, ef_build, seed)
-        return pd.DataFrame({"shard": [pdf["_shard"].iloc[0]], "ids": [pdf[id_col].tolist()], "graph": [graph.dump()],
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "shard": [pdf["_shard"].iloc[0]], "shards": [pdf["shards"].iloc[0]], "ids": [pdf[id_col].tolist()], "graph": [graph.dump()],
                              "layers": [[{"layer": a, "nodes": b, "avg_neighbors": c} for a, b, c in graph.stats()]]})
 
-    return body.withColumn("_shard", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")).groupBy("_shard").applyInPandas(build, schema)
+    dealt = body.join(F.broadcast(sizes), "part").withColumn("_shard", _shard_of(id_col))
+    return dealt.groupBy("part", "_shard").applyInPandas(build, schema)
+
+
+def _shard_of(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.col("shards").cast("long")).cast("int")
 
 
-def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", id_col: str = "vector_id", query_id: str = "query_id", ef: int | None = None) -> DataFrame:
-    """query_id, id, distance, rank: each shard's graph is probed with every query, chunk by chunk, and the shards' results are merged."""
+def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", id_col: str = "vector_id", query_id: str = "query_id", ef: int | None = None,
+                  allowed: DataFrame | None = None, limited: Sequence[int] | None = None) -> DataFrame:
+    """query_id, id, distance, rank: each shard's graph is probed with every query, group by group, and the shards' results are merged.
+
+    ``allowed`` (id, part) names the rows that may be found: a shard's walk
+    crosses all its nodes and keeps these.  With ``limited`` only shards of
+    those parts are so restricted.  A graph keeps k rows a query.
+    """
     check_k(k)
     id_type = graphs.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField(id_col, id_type), T.StructField("distance", T.DoubleType())])
     arrow = to_arrow_schema(schema)
-
-    def pass_over(rows: list) -> DataFrame:
-        shared = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+    probed = graphs.select("part", "shard", "ids", "graph", F.lit(None).cast(T.ArrayType(id_type)).alias("ok"))
+    if allowed is not None:
+        parts = graphs.select(F.col("part").alias("g_part"), "shards").distinct()
+        placed = allowed.join(F.broadcast(parts), F.col("part") == F.col("g_part")).select("part", _shard_of(id_col).alias("shard"), id_col)
+        # ids of a shard, which is bounded
+        ok = placed.groupBy("part", "shard").agg(F.collect_list(id_col).alias("ok"))
+        probed = probed.drop("ok").join(ok, ["part", "shard"], "left")
+        none, free = F.array().cast(T.ArrayType(id_type)), F.lit(False) if limited is None else ~F.col("part").isin(list(limited))
+        probed = probed.withColumn("ok", F.when(~free, F.coalesce("ok", none))).where("ok is null or size(ok) > 0")
+    packed, groups, width = query_groups(queries, query_id, "embedding")
+
+    def pass_over(g: int) -> DataFrame:
+        held = (packed if groups == 1 else packed.where(F.col("g") == g)).collect()
+        shared = queries.sparkSession.sparkContext.broadcast([(r["ids"], bytes(r["matrix"])) for r in held])
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
             for batch in batches:
-                for ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for ids, blob, ok in zip(*(batch.column(c).to_pylist() for c in range(3))):
                     graph = Graph.load(blob)
-                    for name, one in zip(names, q):
-                        found = graph.search(one, k, ef)
-                        d = _block_distances(graph.x[found], one[None], metric)[0]
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(([name] * len(found), [ids[i] for i in found], d), arrow.types)], schema=arrow)
-
-        return graphs.select("ids", "graph").mapInArrow(probe, schema)
-
-    out, rows = None, []
-    for r in queries.select(query_id, "embedding").toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) >= BROADCAST_CELLS // 64:
-            part = pass_over(rows)
-            out, rows = part if out is None else out.unionByName(part), []
-    if rows or out is None:
-        part = pass_over(rows)
-        out = part if out is None else out.unionByName(part)
-    return _top(out, ["query_id"], k, id_col)
+                    mask = None if ok is None else np.isin(np.array(ids), np.array(ok))
+                    for names, matrix in shared.value:
+                        out: tuple = ([], [], [])
+                        for name, one in zip(names, np.frombuffer(matrix).reshape(len(names), -1)):
+                            found = graph.search(one, k, ef, mask)
+                            if found:
+                                near = exact_distances(graph.x[found], np.broadcast_to(one, (len(found), len(one))), metric)
+                                best = sorted(zip(near.tolist(), (ids[i] for i in found)))[:k]
+                                out[0].extend([name] * len(best))
+                                out[1].extend(i for _, i in best)
+                                out[2].extend(d for d, _ in best)
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, arrow.types)], schema=arrow)
+
+        return probed.select("ids", "graph", "ok").mapInArrow(probe, schema)
+
+    out = None
+    for g in range(groups if width else 0):
+        out = pass_over(g) if out is None else out.unionByName(pass_over(g))
+    return _top(queries.sparkSession.createDataFrame([], schema) if out is None else out, ["query_id"], k, id_col)
 
 
 def layer_stats(graphs: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ one partition, so the highest version of an id is its last write.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INSERT, DELETE = "insert", "delete"
 
@@ -16,14 +17,24 @@ INSERT, DELETE = "insert", "delete"
 def latest(log: DataFrame, *, id_col: str = "vector_id", version: str = "version") -> DataFrame:
     """The last entry of every id, tombstones included.
 
-    ``max_by`` aggregates before the shuffle, so an id written a million times
-    moves one row a task.  Of equal versions a delete wins, then the entry of
-    the smaller JSON form, so replays agree.
+    The entry is found on narrow rows, (id, version, a key of eight bytes),
+    aggregated before the shuffle, so an id written a million times moves one
+    of them a task; whole rows are then joined by all three, so such an id's
+    entries don't meet.  Of equal versions a delete wins, then the entry of the
+    larger hash, so replays agree; of equal entries one stays.
     """
-    rest = [c for c in log.columns if c != id_col]
-    order = F.struct(F.col(version), (F.col("op") == DELETE).cast("int")) if "op" in log.columns else F.struct(F.col(version))
-    best = log.groupBy(id_col).agg(F.max_by(F.struct(*rest), order).alias("_e"))
-    return best.select(*[F.col(id_col) if c == id_col else F.col(f"_e.{c}").alias(c) for c in log.columns])
+    columns = [F.col(f"`{c}`") for c in log.columns]
+    plain = [F.to_json(F.struct(c)) if isinstance(log.schema[n].dataType, T.VariantType) else c for n, c in zip(log.columns, columns)]
+    gone = (F.col("op") == DELETE).cast("long") if "op" in log.columns else F.lit(0).cast("long")
+    key = F.shiftleft(F.coalesce(gone, F.lit(0).cast("long")), 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*plain), 2))
+    keyed = log.select(*columns, key.alias("_key"))
+    at = F.col(f"`{version}`")
+    each = keyed.groupBy(F.col(id_col).alias("_id"), at.alias("_at")).agg(F.max("_key").alias("_best"))
+    last = each.groupBy("_id").agg(F.max("_at").alias("_last"), F.max_by("_best", "_at").alias("_most"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & at.eqNullSafe(F.col("_last")) & (F.col("_key") == F.col("_most"))
+    found = keyed.join(last, same, "left_semi")
+    one = Window.partitionBy(id_col, at, "_key").orderBy(F.lit(0))
+    return found.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*columns)
 
 
 def live(log: DataFrame, **how) -> DataFrame:

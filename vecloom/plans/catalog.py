@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 
 from ..collection import Collection
 from ..functions.distance import as_vector, distance
-from ..functions.hashing import partition_of
+from ..functions.hashing import partition_of, partition_of_id
 from ..functions.predicates import apply_filter
 from ..operators import ann, changes, knn, ring, stats
 from ..sources import binlog
 from ..streaming.ingest import ingest
-from ..workspace import fresh_path
+from ..workspace import fresh_path, stored
 
-K, QUERIES = 10, 20
-#: Every so many ids asks for its neighbours in the queries over the whole query set.
+K = 10
+#: Every so many ids asks for its neighbours, against all rows.
 EACH = 20
 NODES = ("n-0", "n-1", "n-2")
 DIGITS = 6
@@ -33,18 +33,13 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet")
 
 
-def _is_first() -> Column:
-    """The query set of the first SQL: a few neighbouring ids."""
-    return F.col("vec_id") < QUERIES
-
-
-def _is_each() -> Column:
-    """The whole query set: every id that EACH divides."""
+def _is_asked() -> Column:
+    """The query set: every id that EACH divides."""
     return F.col("vec_id") % EACH == 0
 
 
-def _queries(spark: SparkSession, d: str, asks: Callable[[], Column] = _is_first) -> DataFrame:
-    return _embeddings(spark, d).where(asks()).select(F.col("vec_id").alias("query_id"), "embedding")
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    return _embeddings(spark, d).where(_is_asked()).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def _first(spark: SparkSession, d: str) -> list[float]:
@@ -87,18 +82,21 @@ def _matching(spec):
     return query
 
 
-def _batch(asks: Callable[[], Column] = _is_first):
+def _batch(metric: str = "cosine"):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return _rounded(knn.search_batch(_embeddings(spark, d), _queries(spark, d, asks), K, id_col="vec_id"))
+        return _rounded(knn.search_batch(_embeddings(spark, d), _queries(spark, d), K, metric=metric, id_col="vec_id"))
 
     return query
 
 
-def _matrix(metric: str = "cosine", asks: Callable[[], Column] = _is_first):
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        return _rounded(knn.search_matrix(_embeddings(spark, d), _queries(spark, d, asks), K, metric=metric, id_col="vec_id"))
-
-    return query
+def _batch_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """The batch with its queries and vectors meeting in a join, as beyond what may be broadcast."""
+    e, q = _embeddings(spark, d), _queries(spark, d)
+    bound, knn.BROADCAST_BYTES = knn.BROADCAST_BYTES, 8 * len(_first(spark, d)) * 16
+    try:
+        return _rounded(knn.search_batch(e, q, K, id_col="vec_id"))
+    finally:
+        knn.BROADCAST_BYTES = bound
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +128,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 def _snapshots(spark: SparkSession, d: str, shares: tuple[float, ...]) -> DataFrame:
     """Snapshots of the log after given shares of all its versions."""
     log = _log(spark, d)
-    top = log.agg(F.max("version")).first()[0]
+    top = _events(spark, d).agg(F.max("event_id")).first()[0]
     out = None
     for s in shares:
         cut = int(math.floor(top * s))
@@ -154,8 +152,11 @@ def _exported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _exists(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.range(450, 550).select(F.col("id").alias("vec_id"))
-    return changes.existed(_embeddings(spark, d), asked, id_col="vec_id")
+    """Every id that EACH divides, and as many beyond the largest."""
+    e = _embeddings(spark, d)
+    mine = e.where(_is_asked()).select("vec_id")
+    asked = mine.unionByName(mine.crossJoin(F.broadcast(e.agg(F.max("vec_id").alias("top")))).select((F.col("vec_id") + F.col("top") + 1).alias("vec_id")))
+    return changes.existed(e, asked, id_col="vec_id")
 
 
 def _deleted(spark: SparkSession, d: str) -> DataFrame:
@@ -167,17 +168,14 @@ def _get(spark: SparkSession, d: str) -> DataFrame:
     return _embeddings(spark, d).where("vec_id = 7").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
 
 
-def _recall(asks: Callable[[], Column] = _is_first):
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        """Recall of searching each vector's own label only, against all rows."""
-        e, q = _embeddings(spark, d), _embeddings(spark, d).where(asks())
-        exact = knn.search_batch(e, _queries(spark, d, asks), K, id_col="vec_id")
-        near = e.join(F.broadcast(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), F.col("label"))), "label")
-        near = near.select("query_id", "vec_id", distance(F.col("embedding"), F.col("_q")).alias("distance"))
-        found = knn._top(near, ["query_id"], K, "vec_id")
-        return knn.recall_at_k(exact, found, K, id_col="vec_id").select("query_id", F.round("recall", DIGITS).alias("recall"))
-
-    return query
+def _recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of searching each vector's own label only, against all rows."""
+    e, q = _embeddings(spark, d), _embeddings(spark, d).where(_is_asked())
+    exact = knn.search_batch(e, _queries(spark, d), K, id_col="vec_id")
+    near = e.join(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), F.col("label")), "label")
+    near = near.select("query_id", "vec_id", distance(F.col("embedding"), F.col("_q")).alias("distance"))
+    found = knn._top(near, ["query_id"], K, "vec_id")
+    return knn.recall_at_k(exact, found, K, id_col="vec_id").select("query_id", F.round("recall", DIGITS).alias("recall"))
 
 
 def _latency(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +188,7 @@ def _dim(spark: SparkSession, d: str) -> int:
 
 
 def _lsh(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ann.search_lsh(_embeddings(spark, d), _queries(spark, d, _is_each), K, _dim(spark, d), id_col="vec_id"))
+    return _rounded(ann.search_lsh(_embeddings(spark, d), _queries(spark, d), K, _dim(spark, d), id_col="vec_id"))
 
 
 def _graphs(spark: SparkSession, d: str) -> DataFrame:
@@ -198,19 +196,38 @@ def _graphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hnsw(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ann.search_graphs(_graphs(spark, d), _queries(spark, d, _is_each), K, id_col="vec_id", ef=100))
+    return _rounded(ann.search_graphs(_graphs(spark, d), _queries(spark, d), K, id_col="vec_id", ef=100))
+
+
+def _is_odd() -> Column:
+    return F.col("label") % 2 == 1
+
+
+def _lsh_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ann.search_lsh(_embeddings(spark, d).where(_is_odd()), _queries(spark, d), K, _dim(spark, d), id_col="vec_id"))
+
+
+def _hnsw_filtered(spark: SparkSession, d: str) -> DataFrame:
+    allowed = _embeddings(spark, d).where(_is_odd()).select("vec_id", F.lit(0).alias("part"))
+    return _rounded(ann.search_graphs(_graphs(spark, d), _queries(spark, d), K, id_col="vec_id", ef=100, allowed=allowed))
 
 
 def _ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Recall at k of both approximate strategies over the whole query set; at least 0.9 on average is expected."""
-    exact = knn.search_matrix(_embeddings(spark, d), _queries(spark, d, _is_each), K, id_col="vec_id")
-    out = None
-    for name, found in (("lsh", _lsh(spark, d)), ("hnsw", _hnsw(spark, d))):
-        one = knn.recall_at_k(exact, found, K, id_col="vec_id").agg(F.avg("recall").alias("recall")).select(F.lit(name).alias("strategy"), "recall")
-        out = one if out is None else out.unionByName(one)
+    """Recall at k of both approximate strategies over the whole query set, without and with a filter."""
+    e, q, out = _embeddings(spark, d), _queries(spark, d), None
+    for rows, strategies in ((e, (("lsh", _lsh), ("hnsw", _hnsw))), (e.where(_is_odd()), (("lsh filtered", _lsh_filtered), ("hnsw filtered", _hnsw_filtered)))):
+        exact = stored(knn.search_matrix(rows, q, K, id_col="vec_id"), "exact")
+        for name, find in strategies:
+            one = knn.recall_at_k(exact, find(spark, d), K, id_col="vec_id").agg(F.avg("recall").alias("recall")).select(F.lit(name).alias("strategy"), "recall")
+            out = one if out is None else out.unionByName(one)
     return out
 
 
+def _ann_reached(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each strategy's recall is 0.9 or more."""
+    return _ann_recall(spark, d).select("strategy", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def _log_files(spark: SparkSession, d: str) -> DataFrame:
     """The log written to binary files and read back, then replayed."""
     folder = fresh_path(spark, "log-files")
@@ -242,10 +259,60 @@ def _collection_search(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(got.select(F.col("vector_id").cast("long").alias("vec_id"), "distance", "partition_id", "source_node"))
 
 
+def _collection_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Every 20th row put anew with its vector turned round, every 30th deleted; what is there then."""
+    c, e = _collection(spark, d), _with_metadata(spark, d)
+    name = F.col("vec_id").cast("string").alias("vector_id")
+    c.put_many(e.where(_is_asked()).select(name, F.transform("embedding", lambda x: -x).alias("embedding"), "metadata"))
+    c.delete_many(e.where("vec_id % 30 = 0").select(name))
+    return c.scan().select(F.col("vector_id").cast("long").alias("vec_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), DIGITS).alias("x"))
+
+
+def _collection_get(spark: SparkSession, d: str) -> DataFrame:
+    """Three ids by ``Collection.get``, one of them deleted before and one unknown."""
+    c = _collection(spark, d)
+    c.delete("7")
+    got = [(i, v is not None, 0 if v is None else len(v[0])) for i in ("5", "7", "none") for v in (c.get(i),)]
+    return spark.createDataFrame(got, "vector_id string, found boolean, dim int")
+
+
+def _collection_remove(spark: SparkSession, d: str) -> DataFrame:
+    """Rows left by partition when the partition of id 0 is removed."""
+    c = _collection(spark, d)
+    c.remove_partition(partition_of_id("0"))
+    return c.scan().groupBy("partition_id").agg(F.count(F.lit(1)).alias("vectors"))
+
+
+def _collection_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Graph search finds rows written after the graphs, not those deleted, before and after one partition is rebuilt."""
+    e = _with_metadata(spark, d)
+    c = Collection(spark, fresh_path(spark, "collection"), dim=_dim(spark, d), num_partitions=3, nodes=NODES, metadata=e.schema["metadata"].dataType, snapshot_interval=10**9, strategy="hnsw")
+    rows = e.select(F.col("vec_id").cast("string").alias("vector_id"), "embedding", "metadata")
+    c.put_many(rows.where("cast(vector_id as long) % 40 <> 0"))
+    c.graphs()
+    c.put_many(rows.where("cast(vector_id as long) % 40 = 0"))
+    c.delete_many(rows.where("cast(vector_id as long) % 40 = 20").select("vector_id"))
+    out = None
+    for step in ("written", "rebuilt"):
+        found = c.search_batch(_queries(spark, d), 1).select(F.lit(step).alias("step"), "query_id", (F.col("vector_id").cast("long") == F.col("query_id")).alias("itself"))
+        out = found if out is None else out.unionByName(found)
+        c.rebuild_partition(partition_of_id("0", 3))
+    return out
+
+
+def _storage(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a written log and of two snapshots of each partition."""
+    folder = fresh_path(spark, "storage")
+    binlog.write_logs(_log(spark, d), folder)
+    for share in (0.4, 0.7):
+        binlog.write_snapshots(_snapshots(spark, d, (share,)), folder)
+    return binlog.storage_stats(spark, folder).select("log_files", "snapshot_files")
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The log as a stream of several micro-batches into a collection; its state is the batch result."""
     source, base = fresh_path(spark, "stream-in"), fresh_path(spark, "stream-collection")
-    log = _log(spark, d).where("embedding is null or embedding[0] is not null")
+    log = _log(spark, d)
     log.repartition(3, F.xxhash64("version")).write.parquet(source)
     c = Collection(spark, base, dim=1, snapshot_interval=10**9)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
@@ -269,18 +336,18 @@ def _knn_sql(metric: str = "cosine", rows: str = "embeddings", where: str = "tru
     return f"SELECT vec_id, round(distance, 6) AS distance FROM (SELECT vec_id, {_DIST[metric].format(_V, _Q)} AS distance FROM {rows} e WHERE {where} ORDER BY 2, 1 LIMIT {K})"
 
 
-#: The query sets in SQL.
-_FIRST_SQL, _EACH_SQL = f"q.vec_id < {QUERIES}", f"q.vec_id % {EACH} = 0"
+#: The query set in SQL.
+_ASKED_SQL = f"q.vec_id % {EACH} = 0"
 
 
-def _batch_sql(metric: str = "cosine", asks: str = _FIRST_SQL) -> str:
+def _batch_sql(metric: str = "cosine") -> str:
     far = _DIST[metric].format(_V, "q.embedding::DOUBLE[]")
     return (f"SELECT query_id, vec_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {far} AS distance, "
-            f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {far}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE {asks}) WHERE rank <= {K}")
+            f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {far}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE {_ASKED_SQL}) WHERE rank <= {K}")
 
 
-def _recall_sql(asks: str = _FIRST_SQL) -> str:
-    return f"WITH x AS ({_batch_sql(asks=asks)}), y AS (SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST['cosine'].format(_V, 'q.embedding::DOUBLE[]')}, e.vec_id) AS k FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE {asks}) WHERE k <= {K}) SELECT x.query_id, round(count(y.vec_id) / {K}.0::DOUBLE, 6) AS recall FROM x LEFT JOIN y ON x.query_id = y.query_id AND x.vec_id = y.vec_id GROUP BY 1"
+def _recall_sql() -> str:
+    return f"WITH x AS ({_batch_sql()}), y AS (SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST['cosine'].format(_V, 'q.embedding::DOUBLE[]')}, e.vec_id) AS k FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE {_ASKED_SQL}) WHERE k <= {K}) SELECT x.query_id, round(count(y.vec_id) / {K}.0::DOUBLE, 6) AS recall FROM x LEFT JOIN y ON x.query_id = y.query_id AND x.vec_id = y.vec_id GROUP BY 1"
 
 
 def _state_sql(source: str = _LOG, where: str = "true") -> str:
@@ -316,11 +383,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {
         "knn_filter_variant": _filtered(FILTERS["and"][0], variant=True),
         "knn_batch": _batch(),
-        "knn_matrix": _matrix(),
-        "knn_matrix_euclidean": _matrix("euclidean"),
-        "knn_batch_all": _batch(_is_each),
-        "knn_matrix_all": _matrix(asks=_is_each),
-        "knn_matrix_euclidean_all": _matrix("euclidean", _is_each),
+        "knn_batch_euclidean": _batch("euclidean"),
+        "knn_batch_dot": _batch("dot"),
+        "knn_batch_grouped": _batch_grouped,
         "knn_per_partition": _per_partition,
         "knn_scatter_gather": _scatter,
         "filter_missing_field": _matching({"field": "quality", "op": "ne", "value": 5}),
@@ -357,12 +422,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "collection_sizes": lambda s, d: _collection(s, d).stats(),
         "stream_ingest": _stream,
         "heartbeat_dead": lambda s, d: stats.dead_members(_events(s, d), 6 * 3600, node="user_id").select("user_id"),
-        "recall_at_k": _recall(),
-        "recall_at_k_all": _recall(_is_each),
+        "recall_at_k": _recall,
         "latency_percentiles": _latency,
         "ann_lsh": _lsh,
         "ann_hnsw": _hnsw,
+        "ann_lsh_filtered": _lsh_filtered,
+        "ann_hnsw_filtered": _hnsw_filtered,
         "ann_recall": _ann_recall,
+        "ann_recall_reached": _ann_reached,
+        "collection_writes": _collection_writes,
+        "collection_get": _collection_get,
+        "collection_remove_partition": _collection_remove,
+        "collection_rebuild": _collection_rebuild,
+        "storage_stats": _storage,
         "ann_layer_stats": lambda s, d: ann.layer_stats(_graphs(s, d)),
     }
     return out
@@ -378,11 +450,9 @@ def oracle_sql() -> dict[str, str]:
     out |= {
         "knn_filter_variant": _knn_sql(rows=_META, where=FILTERS["and"][1]),
         "knn_batch": _batch_sql(),
-        "knn_matrix": _batch_sql(),
-        "knn_matrix_euclidean": _batch_sql("euclidean"),
-        "knn_batch_all": _batch_sql(asks=_EACH_SQL),
-        "knn_matrix_all": _batch_sql(asks=_EACH_SQL),
-        "knn_matrix_euclidean_all": _batch_sql("euclidean", _EACH_SQL),
+        "knn_batch_euclidean": _batch_sql("euclidean"),
+        "knn_batch_dot": _batch_sql("dot"),
+        "knn_batch_grouped": _batch_sql(),
         "knn_per_partition": f"SELECT partition_id, vec_id, round(distance, 6) AS distance, 1::INTEGER AS rank FROM (SELECT partition_id, vec_id, {far} AS distance, row_number() OVER (PARTITION BY partition_id ORDER BY {far}, vec_id) AS k FROM {scatter} e) WHERE k = 1",
         "knn_scatter_gather": f"SELECT vec_id, round(distance, 6) AS distance, partition_id, {_owner_sql('partition_id', NODES)} AS source_node FROM (SELECT vec_id, partition_id, {far} AS distance FROM {scatter} e ORDER BY 3, 1 LIMIT {K})",
         "filter_missing_field": f"SELECT vec_id FROM {_META} WHERE quality <> 5",
@@ -405,7 +475,7 @@ def oracle_sql() -> dict[str, str]:
         "node_stats": f"SELECT node, count(*) FILTER (role = 'p') AS primary_partitions, count(*) FILTER (role = 'b') AS backup_partitions, coalesce(sum(vectors) FILTER (role = 'p'), 0)::BIGINT AS primary_vectors, coalesce(sum(vectors) FILTER (role = 'b'), 0)::BIGINT AS backup_vectors FROM (SELECT owner AS node, 'p' AS role, vectors FROM {_SIZES} UNION ALL SELECT backup, 'b', vectors FROM {_SIZES}) GROUP BY 1",
         "get_by_id": "SELECT vec_id, label, len(embedding)::BIGINT AS dim FROM embeddings WHERE vec_id = 7",
         "delete_anti": "SELECT vec_id, label FROM embeddings WHERE label <> 3",
-        "delete_exists": "SELECT i AS vec_id, EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = i) AS existed FROM range(450, 550) t(i)",
+        "delete_exists": "SELECT i AS vec_id, EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = i) AS existed FROM (SELECT vec_id AS i FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT vec_id + 1 + (SELECT max(vec_id) FROM embeddings) FROM embeddings WHERE vec_id % 20 = 0)",
         "log_latest": f"SELECT vector_id, max(version) AS version, CASE WHEN arg_max(gone, version) THEN 'delete' ELSE 'insert' END AS op FROM {_LOG} GROUP BY 1",
         "log_upsert_lww": _state_sql(),
         "log_replay_after_version": f"SELECT version, CASE WHEN gone THEN 'delete' ELSE 'insert' END AS op, vector_id FROM {_LOG} WHERE version > 9000",
@@ -416,10 +486,15 @@ def oracle_sql() -> dict[str, str]:
         "log_files": _state_sql(),
         "snapshot_files": f"WITH snaps AS (SELECT *, {cut4} AS cut FROM {live.format(_LOG, f'version <= {cut4}')} UNION ALL SELECT *, {cut7} FROM {live.format(_LOG, f'version <= {cut7}')}) SELECT vector_id, partition_id, cut::BIGINT AS snapshot_version, round(value::DOUBLE, 3) AS value FROM snaps s WHERE cut = (SELECT max(cut) FROM snaps t WHERE t.partition_id = s.partition_id)",
         "collection_search": f"SELECT vec_id, round(distance, 6) AS distance, partition_id, {_owner_sql('partition_id', NODES)} AS source_node FROM (SELECT vec_id, {_PID.format('vec_id')} AS partition_id, {far} AS distance FROM {_META} e WHERE lang <> 'en' AND NOT vec_id BETWEEN 20 AND 39 ORDER BY 3, 1 LIMIT {K})",
-        "stream_ingest": f"SELECT vector_id, partition_id, value FROM ({_state_sql(where='gone OR value IS NOT NULL')})",
+        "stream_ingest": f"SELECT vector_id, partition_id, value FROM ({_state_sql()})",
         "heartbeat_dead": "SELECT user_id FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 6 HOUR",
         "recall_at_k": _recall_sql(),
-        "recall_at_k_all": _recall_sql(_EACH_SQL),
+        "ann_recall_reached": "SELECT * FROM (VALUES ('lsh', true), ('hnsw', true), ('lsh filtered', true), ('hnsw filtered', true)) t(strategy, reached)",
+        "collection_writes": "SELECT vec_id, round(CASE WHEN vec_id % 20 = 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) AS x FROM embeddings WHERE vec_id % 30 <> 0",
+        "collection_get": "SELECT t.i AS vector_id, e.vec_id IS NOT NULL AS found, coalesce(len(e.embedding), 0)::INTEGER AS dim FROM (VALUES ('5'), ('7'), ('none')) t(i) LEFT JOIN embeddings e ON e.vec_id::VARCHAR = t.i AND e.vec_id <> 7",
+        "collection_remove_partition": f"SELECT pid AS partition_id, count(*) AS vectors FROM (SELECT {_PID.format('vec_id')} AS pid FROM embeddings) WHERE pid <> (SELECT {_PID.format('vec_id')} FROM embeddings WHERE vec_id = 0) GROUP BY 1",
+        "collection_rebuild": "SELECT step, vec_id AS query_id, vec_id % 40 = 0 AS itself FROM embeddings, (VALUES ('written'), ('rebuilt')) t(step) WHERE vec_id % 20 = 0",
+        "storage_stats": f"SELECT count(DISTINCT partition_id) AS log_files, (SELECT count(DISTINCT partition_id) FROM {live.format(_LOG, f'version <= {cut4}')}) + (SELECT count(DISTINCT partition_id) FROM {live.format(_LOG, f'version <= {cut7}')}) AS snapshot_files FROM {_LOG}",
         "latency_percentiles": "SELECT round(avg(value), 3) AS mean_ms, round(quantile_cont(value, 0.5), 3) AS p50_ms, round(quantile_cont(value, 0.95), 3) AS p95_ms, round(count(value) / (sum(value) / 1000.0), 3) AS qps FROM events WHERE value > 0",
     }
     out["collection_sizes"] = out["node_stats"]

@@ -111,16 +111,20 @@ class Store:
         upto = max(segments, default=0)
         if not segments or upto in self.snapshots():
             return None
-        self.state().repartition("partition_id").sortWithinPartitions("partition_id", "vector_id").write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={upto}")
+        # ranges of (partition, id): a partition of any size is split, and files stay of one size
+        self.state().repartitionByRange("partition_id", "vector_id").sortWithinPartitions("partition_id", "vector_id").write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={upto}")
         if upto not in self._done("versions", "seg"):
             self.versions().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/seg={upto}")
         self._remove(upto)
         return upto
 
-    def _remove(self, upto: int) -> None:
+    def drop(self, names: list[str]) -> None:
+        """Delete directories of the store."""
         jvm = self.spark.sparkContext._jvm
-        old = [f"log/seg={n}" for n in self.segments() if n <= upto] + [f"snapshot/upto={n}" for n in self.snapshots() if n < upto]
-        old += [f"versions/seg={n}" for n in self._done("versions", "seg")[:-1]]
-        for name in old:
+        for name in names:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _remove(self, upto: int) -> None:
+        old = [f"log/seg={n}" for n in self.segments() if n <= upto] + [f"snapshot/upto={n}" for n in self.snapshots() if n < upto]
+        self.drop(old + [f"versions/seg={n}" for n in self._done("versions", "seg")[:-1]])

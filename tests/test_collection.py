@@ -197,7 +197,7 @@ def test_held_rows_answer_like_jobs(spark, tmp_path, struct):
     assert c._held is None
     held = [c.search(x[i].tolist(), 7) for i in (0, 5)]
     assert len(c._held) > 1
-    show = lambda rows: [(r["vector_id"], r["distance"], str(r["metadata"]), r["partition_id"], r["source_node"]) for r in rows]
+    show = lambda rows: [(r["vector_id"], r["distance"], r["metadata"] if struct else r["metadata"].toPython(), r["partition_id"], r["source_node"]) for r in rows]
     assert show(held[0].collect()) == show(before[0])
     c.delete("ship/0")
     assert c.search(x[0].tolist(), 1).first()["vector_id"] != "ship/0"

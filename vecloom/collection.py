@@ -56,6 +56,7 @@ class Collection:
         self._graphs: DataFrame | None = None
         self._reached: dict[int, int] = {}
         self._asked: Any = None
+        self._auto: tuple[Any, str] | None = None
         self._held: tuple[Any, ...] | None = None
         self._pending = self.store.entries_since_snapshot() if self.store.segments() else 0
 
@@ -203,7 +204,10 @@ class Collection:
     def _strategy(self) -> str:
         if self.strategy != "auto":
             return self.strategy
-        return "exact" if self.store.state().limit(ann.EXACT_ROWS + 1).count() <= ann.EXACT_ROWS else "hnsw"
+        mark = self._mark()
+        if self._auto is None or self._auto[0] != mark:
+            self._auto = mark, "exact" if self.store.state().limit(ann.EXACT_ROWS + 1).count() <= ann.EXACT_ROWS else "hnsw"
+        return self._auto[1]
 
     def search(self, query: Sequence[float], k: int = 10, *, where: Any = None, ef: int | None = None) -> DataFrame:
         """The k nearest live rows: vector_id, distance, metadata, partition_id, source_node.

@@ -53,8 +53,10 @@ class PieceTable:
         """Number of each hash (not 0), or -1."""
         m = np.uint64(len(self.keys) - 1)
         slot = h & m
-        out = np.full(len(h), -1, np.int64)
-        left = np.arange(len(h))
+        k = self.keys[slot]
+        out = np.where(k == h, self.values[slot], -1)
+        left = np.flatnonzero((k != h) & (k != 0))
+        slot = (slot[left] + np.uint64(1)) & m
         while len(left):
             k = self.keys[slot]
             hit = k == h[left]
@@ -215,8 +217,12 @@ class Encoder:
         """Each piece's number; pieces met for the first time are learnt."""
         data, size = self.hasher.padded(raw), ends - starts
         # texts of the safe alphabet hold no zero byte, so the two lanes are the piece
-        one, two = self.hasher.lane(data, starts, size, 0), self.hasher.lane(data, starts, size, 1)
-        h = mixed(mixed(one ^ np.uint64(WordHasher.BASE)) ^ two) | np.uint64(1)
+        one, two = self.hasher.lane(data, starts, size, 0), np.zeros(len(starts), np.uint64)
+        h = mixed(one ^ np.uint64(WordHasher.BASE))
+        longer = np.flatnonzero(size > 8)
+        two[longer] = self.hasher.lane(data, starts[longer], size[longer], 1)
+        h[longer] = mixed(h[longer] ^ two[longer])
+        h |= np.uint64(1)
         short = size <= 16
         at = np.where(short, self.table.find(h), -1)
         if (short & (at < 0)).any():

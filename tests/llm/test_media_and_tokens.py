@@ -196,6 +196,23 @@ def test_pieces_are_known_by_their_bytes(monkeypatch):
     assert ids_of(tokens.Encoder(tokens.default_tokenizer()), texts * 2, 100) == want * 2
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_forgetting_pieces_changes_no_ids(monkeypatch, collide):
+    rng = random.Random(3)
+    often = ["the", "of", "don't", "Straße", "x" * 20, "12", "..."]
+    texts = [" ".join(rng.choice(often) if rng.random() < 0.5 else "".join(rng.choices("abcdeé'1.", k=rng.randrange(1, 24))) for _ in range(40)) for _ in range(300)]
+    lib = own_tokenizer()
+    monkeypatch.setattr(tokens, "REMEMBERED", 200)
+    if collide:
+        monkeypatch.setattr(tokens, "mixed", lambda h: h & np.uint64(7))
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    forgot, forget = [], enc.forget
+    enc.forget = lambda: (forget(), forgot.append(enc.learnt))
+    assert ids_of(enc, texts, 2000) == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    # what was met again stays, within half of the room
+    assert len(forgot) > 5 and max(forgot) <= 100 and (collide or min(forgot) >= 3)
+
+
 def test_files_with_other_rules_go_to_the_library(tmp_path):
     import json
 

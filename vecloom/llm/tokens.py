@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,10 +36,9 @@ LENGTH, END_ID = 2048, 2
 #: Sequences in a record batch.
 BATCH = 64
 #: Distinct pieces a worker remembers (about 80 bytes each), and bytes of those longer than two lanes.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 1 << 24
+REMEMBERED, REMEMBERED_BYTES = 500_000, 1 << 24
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 1 << 27
-SPACED = re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 class PieceTable:
@@ -111,7 +109,8 @@ class Encoder:
     one blank before them; white space, of which the last character stands
     alone or joins what follows.  Each distinct piece is encoded once: one of
     up to 16 bytes is looked up by a hash and compared with the bytes that are
-    kept there, a longer one is a key of a dictionary.
+    kept there, a longer one is a key of a dictionary.  When there are too
+    many, those met again since the last time stay and the others go.
     """
 
     def __init__(self, path: str):
@@ -138,34 +137,54 @@ class Encoder:
         self.rare_bytes = 0
         self.pool, self.filled = np.zeros(1 << 16, self.dtype), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)
         self.learnt = 0
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces met for the first time; runs of spaced words in one call."""
-        spaced = [k for k, p in enumerate(new) if SPACED.fullmatch(p)]
-        rest = sorted(set(range(len(new))) - set(spaced))
+    def forget(self) -> None:
+        """Drop the pieces that were met once only, and half of the room at least."""
+        kept = np.flatnonzero(self.again[:self.learnt] & (self.lanes[0, :self.learnt] != 0))[:REMEMBERED // 2]
+        lanes, sizes, at = self.lanes[:, kept], self.sizes[kept], self.starts[kept]
+        stop = np.cumsum(sizes)
+        pool = self.pool[np.repeat(at - stop + sizes, sizes) + np.arange(int(sizes.sum()))]
+        self.clear()
+        self._room(len(kept), len(pool))
+        self.pool[:len(pool)] = pool
+        self.starts[:len(kept)], self.sizes[:len(kept)], self.lanes[:, :len(kept)] = stop - sizes, sizes, lanes
+        self.learnt, self.filled = len(kept), len(pool)
+        self.table.add(self._hash(*lanes))
+
+    def _room(self, entries: int, ids: int) -> None:
+        while ids > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while entries > len(self.starts):
+            self.starts, self.sizes, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.again))
+            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)], axis=1)
+
+    def _hash(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        h = mixed(one ^ np.uint64(WordHasher.BASE))
+        longer = np.flatnonzero(two)
+        h[longer] = mixed(h[longer] ^ two[longer])
+        return h | np.uint64(1)
+
+    def _learn(self, new: list[bytes], spaced: np.ndarray) -> None:
+        """Encode pieces met for the first time; those of a blank and letters in one call."""
+        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
+        words = int(spaced.sum())
         sizes = np.zeros(len(new), np.int64)
-        ids = []
-        for a in range(0, len(spaced), 4000):
-            part = spaced[a:a + 4000]
-            e = self.tokenizer.encode("".join(new[k] for k in part), add_special_tokens=False)
+        flat: list[int] = []
+        for a in range(0, words, 4000):
+            part = order[a:min(a + 4000, words)]
+            e = self.tokenizer.encode(b"".join([new[k] for k in part.tolist()]).decode(), add_special_tokens=False)
             sizes[part] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
-            ids.append(np.array(e.ids, self.dtype))
-        for a in range(0, len(rest), 4000):
-            part = rest[a:a + 4000]
-            for k, e in zip(part, self.tokenizer.encode_batch([new[k] for k in part], add_special_tokens=False)):
-                sizes[k] = len(e.ids)
-                ids.append(np.array(e.ids, self.dtype))
-        order = spaced + rest
-        flat = np.concatenate(ids) if ids else np.zeros(0, self.dtype)
-        while self.filled + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            flat += e.ids
+        for a in range(words, len(order), 4000):
+            part = order[a:a + 4000].tolist()
+            for k, e in zip(part, self.tokenizer.encode_batch([new[k].decode() for k in part], add_special_tokens=False)):
+                sizes[k] = len(e)
+                flat += e.ids
+        self._room(self.learnt + len(new), self.filled + len(flat))
         self.pool[self.filled:self.filled + len(flat)] = flat
-        while self.learnt + len(new) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)], axis=1)
-        at = self.filled + np.cumsum(sizes[order]) - sizes[order]
-        self.starts[self.learnt + np.array(order, np.int64)] = at
+        self.starts[self.learnt + order] = self.filled + np.cumsum(sizes[order]) - sizes[order]
         self.sizes[self.learnt:self.learnt + len(new)] = sizes
         self.filled += len(flat)
         self.learnt += len(new)
@@ -218,33 +237,34 @@ class Encoder:
         data, size = self.hasher.padded(raw), ends - starts
         # texts of the safe alphabet hold no zero byte, so the two lanes are the piece
         one, two = self.hasher.lane(data, starts, size, 0), np.zeros(len(starts), np.uint64)
-        h = mixed(one ^ np.uint64(WordHasher.BASE))
         longer = np.flatnonzero(size > 8)
         two[longer] = self.hasher.lane(data, starts[longer], size[longer], 1)
-        h[longer] = mixed(h[longer] ^ two[longer])
-        h |= np.uint64(1)
+        h = self._hash(one, two)
         short = size <= 16
         at = np.where(short, self.table.find(h), -1)
-        if (short & (at < 0)).any():
-            missing = np.flatnonzero(short & (at < 0))
+        self.again[at[at >= 0]] = True
+        # a piece is one run with a blank before it or none, so its second byte tells a spaced word
+        spaced = (raw[starts] == 32) & (size > 1) & (self.classes[data[starts + 1]] == LETTER)
+        missing = np.flatnonzero(short & (at < 0))
+        if len(missing):
             new, first = np.unique(h[missing], return_index=True)
             pick = missing[first]
             self.table.add(new, np.arange(self.learnt, self.learnt + len(new)))
             known = self.learnt
             whole = data.tobytes()
-            self._learn([whole[starts[k]:ends[k]].decode() for k in pick.tolist()])
+            self._learn([whole[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist())], spaced[pick])
             self.lanes[:, known:known + len(pick)] = one[pick], two[pick]
             at[missing] = self.table.find(h[missing])
         # long pieces, and such whose hash belongs to another one
         other = np.flatnonzero(~short | (self.lanes[0][at] != one) | (self.lanes[1][at] != two))
         if len(other):
             whole = data.tobytes()
-            keys = [whole[starts[k]:ends[k]] for k in other.tolist()]
-            new = [p for p in dict.fromkeys(keys) if p not in self.rare]
+            keys = [whole[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist())]
+            new = {p: k for p, k in zip(keys, other.tolist()) if p not in self.rare}
             self.rare.update({p: self.learnt + k for k, p in enumerate(new)})
             self.rare_bytes += sum(map(len, new))
             if new:
-                self._learn([p.decode() for p in new])
+                self._learn(list(new), spaced[list(new.values())])
             at[other] = [self.rare[p] for p in keys]
         return at
 
@@ -262,7 +282,7 @@ class Encoder:
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a buffer, one text after the other, and the number of each text."""
         if self.learnt > REMEMBERED or self.rare_bytes > REMEMBERED_BYTES:
-            self.clear()
+            self.forget()
         good = self.plain(raw, off) if self.known else np.zeros(len(off) - 1, bool)
         if good.all():
             return self._fast(raw, off)

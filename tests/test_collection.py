@@ -287,3 +287,30 @@ def test_silent_members_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got == {"a": 3, "b": 2}
+
+
+def test_appends_are_numbered_in_ranges(spark, tmp_path):
+    """Places within partitions without a gap, in order, the same from ranges as from a window; a hot id is split over ranges."""
+    c = Collection(spark, str(tmp_path / "c"), dim=2, num_partitions=3, nodes=["n"], snapshot_interval=10**9)
+    c.put_many(rows(spark, np.zeros((5, 2))))
+    had = {r["partition_id"]: r["version"] for r in c.store.versions().collect()}
+    data = [("hot" if i % 3 == 0 else f"w-{i % 200}", [float(i), 1.0], "{}", i) for i in range(900)]
+    df = spark.createDataFrame(data, "vector_id string, embedding array<float>, metadata string, turn int").repartition(7)
+    placed = c._body(df, "turn").withColumn("partition_id", F.pmod(F.xxhash64("vector_id"), F.lit(3)).cast("int"))
+    placed = placed.withColumn("partition_id", F.when(F.col("vector_id") != "w-1", F.col("partition_id")))  # a null partition counts from 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = c._numbered(placed, False)
+        assert ranged.select("_range").distinct().count() > 1 and ranged.where("vector_id = 'hot'").select("_range").distinct().count() > 1
+        took = lambda df: sorted((r["partition_id"] if r["partition_id"] is not None else -1, r["version"], r["vector_id"], r["embedding"][0]) for r in df.collect())
+        got = took(ranged)
+        assert got == took(c._numbered(placed, True))
+        for p in (-1, 0, 1, 2):
+            own = [(v, x) for q, v, _, x in got if q == p]
+            first = had.get(p, 0) + 1
+            assert [v for v, _ in own] == list(range(first, first + len(own))) and [x for _, x in own] == sorted(x for _, x in own)
+        assert c.put_many(df, order="turn") == 900
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert c.get("hot")[0] == [897.0, 1.0] and c.size() == 5 + len({r[0] for r in data})
+    assert c.put_many(df.limit(0)) == 0

@@ -143,3 +143,16 @@ def test_dead_members(spark):
     beats = spark.createDataFrame([("a", 0), ("b", 7), ("c", 20)], "node_id string, s int").select("node_id", F.timestamp_seconds("s").alias("ts"))
     assert [r["node_id"] for r in stats.dead_members(beats, 13).collect()] == ["a"]
     assert {r["node_id"] for r in stats.dead_members(beats, 12.5).collect()} == {"a", "b"}
+
+
+def test_held_roles(spark):
+    """What a node should not hold is stale while it has rows; what it should hold and doesn't has none."""
+    held = spark.createDataFrame([("a", 0, 5), ("b", 0, 5), ("c", 0, 2), ("c", 0, 1), ("c", 3, 0), ("gone", 1, 4), ("b", 1, None)], "node string, partition_id int, vectors long")
+    got = {(r["node"], r["partition_id"]): (r["role"], r["vectors"]) for r in ring.held_roles(held, ["c", "b", "a"], num_partitions=4).collect()}
+    want = {}
+    for p, (owner, backups) in model(["a", "b", "c"], 1, 4).items():
+        want |= {(owner, p): ("primary", 0)} | {(b, p): ("backup", 0) for b in backups}
+    want |= {("a", 0): ("primary", 5), ("b", 0): ("backup", 5), ("c", 0): ("stale", 3), ("gone", 1): ("stale", 4)}
+    assert got == want
+    empty = ring.held_roles(held, [])
+    assert {r["role"] for r in empty.collect()} == {"stale"} and [r["node"] for r in ring.all_nodes(spark, ["y", "x", "y"]).collect()] == ["x", "y"]

@@ -18,7 +18,7 @@ from .functions.predicates import apply_filter, compile_filter
 from .operators import ann, knn, ring, stats
 from .operators.changes import DELETE, INSERT, live
 from .sources.store import Store
-from .workspace import stored
+from .workspace import scope, stored
 
 
 #: Numbers (rows times dimensions) that the driver may hold: 128 MB.
@@ -73,13 +73,35 @@ class Collection:
 
     # writes
 
-    def _append(self, rows: DataFrame, op: str) -> int:
+    def _numbered(self, placed: DataFrame, few: bool) -> DataFrame:
+        """The rows with their version: their place within their partition, by order and id, after what it has.
+
+        Rows are sorted in ranges of (partition, order, id, vector), so a
+        partition of any size is many tasks'; a row a range and partition says
+        where its places begin.  A few rows get the same places from a window.
+        """
+        reached = self.store.versions().select(F.col("partition_id").alias("_p"), F.col("version").alias("_at"))
+        order = ("partition_id", "_order", "vector_id", "_tie")
+        placed = placed.withColumn("_tie", F.xxhash64("embedding"))
+        at = F.coalesce("_at", F.lit(0)).cast("long")
+        if few:
+            place = F.row_number().over(Window.partitionBy("partition_id").orderBy(*order[1:]))
+            return placed.join(reached, F.col("partition_id").eqNullSafe(F.col("_p")), "left").withColumn("version", at + place)
+        ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+        ranged = stored(ranged.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_n")), "ranged")
+        # no more rows than ranges and partitions together
+        starts = ranged.groupBy("partition_id", "_range").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        before = Window.partitionBy("partition_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = starts.join(reached, F.col("partition_id").eqNullSafe(F.col("_p")), "left")
+        starts = starts.select(F.col("partition_id").alias("_s"), F.col("_range").alias("_r"), (at + F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_begin"))
+        same = F.col("partition_id").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r"))
+        return ranged.join(F.broadcast(starts), same).withColumn("version", F.col("_begin") + F.col("_n"))
+
+    def _append(self, rows: DataFrame, op: str, few: bool = False) -> int:
         """Number the rows within their partitions, after what these have, and write them as a segment."""
         placed = rows.withColumn("partition_id", partition_of(F.col("vector_id"), self.num_partitions))
-        reached = self.store.versions().withColumnRenamed("version", "_at")
-        order = Window.partitionBy("partition_id").orderBy("_order", "vector_id")
-        numbered = placed.join(reached, "partition_id", "left").withColumn("version", F.coalesce("_at", F.lit(0)).cast("long") + F.row_number().over(order))
-        n = self.store.append(numbered.withColumn("op", F.lit(op)))
+        with scope(self.spark):
+            n = self.store.append(self._numbered(placed, few).withColumn("op", F.lit(op)))
         written = self.store._read([f"{self.store.path}/log/seg={n}"]).count()
         self._pending += written
         if self._pending >= self.snapshot_interval:
@@ -104,9 +126,11 @@ class Collection:
         ``dim`` fails the job, and nothing is written.  Returns the number of
         entries.
         """
+        return self._append(self._body(rows, order), INSERT)
+
+    def _body(self, rows: DataFrame, order: str | None = None) -> DataFrame:
         body = self._meta(rows).withColumn("_order", F.col(order) if order else F.lit(0))
-        body = body.select(F.col("vector_id").cast("string"), F.col("embedding").cast("array<float>"), "metadata", "_order")
-        return self._append(knn.checked(body, self.dim), INSERT)
+        return knn.checked(body.select(F.col("vector_id").cast("string"), F.col("embedding").cast("array<float>"), "metadata", "_order"), self.dim)
 
     def put(self, vector_id: str, vector: Sequence[float], metadata: dict | None = None) -> None:
         """Upsert one vector."""
@@ -119,20 +143,23 @@ class Collection:
         else:
             row = tuple((metadata or {}).get(n) for n in self.metadata.names)
             df = self.spark.createDataFrame([(vector_id, values, row)], T.StructType([T.StructField("vector_id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("metadata", self.metadata)]))
-        self.put_many(df)
+        self._append(self._body(df), INSERT, few=True)
 
     def delete_many(self, ids: DataFrame) -> int:
         """Delete the ids (column vector_id) that exist; returns how many did."""
+        return self._append(self._gone(ids), DELETE)
+
+    def _gone(self, ids: DataFrame) -> DataFrame:
+        """Tombstones of the ids that exist."""
         asked = ids.select(F.col("vector_id").cast("string")).distinct()
         gone = live(self.store.entries().join(asked, "vector_id", "left_semi"))
-        rows = gone.select("vector_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast(self.store.metadata).alias("metadata"), F.lit(0).alias("_order"))
-        return self._append(rows, DELETE)
+        return gone.select("vector_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast(self.store.metadata).alias("metadata"), F.lit(0).alias("_order"))
 
     def delete(self, vector_id: str) -> bool:
         """Whether the id existed; it doesn't any more."""
         if self.get(vector_id) is None:
             return False
-        return self.delete_many(self.spark.createDataFrame([(vector_id,)], "vector_id string")) == 1
+        return self._append(self._gone(self.spark.createDataFrame([(vector_id,)], "vector_id string")), DELETE, few=True) == 1
 
     def compact(self) -> int | None:
         """Fold the log into a snapshot."""

@@ -80,6 +80,26 @@ def node_partitions(spark: SparkSession, nodes: Iterable[str], node: str, *, rol
     return table.where(mine).select("partition_id").orderBy("partition_id")
 
 
+def all_nodes(spark: SparkSession, nodes: Iterable[str]) -> DataFrame:
+    """node: each known node once, ordered."""
+    return spark.createDataFrame([(n,) for n in _nodes(nodes)], "node string").orderBy("node")
+
+
+def held_roles(held: DataFrame, nodes: Iterable[str], *, num_partitions: int = PARTITIONS, backup_count: int = 1) -> DataFrame:
+    """node, partition_id, vectors, role of copies that nodes hold (columns node, partition_id, vectors).
+
+    A copy is its owner's "primary" or a "backup"; one that its node should
+    not hold is "stale" while it has vectors, and has no row without any.
+    What a node should hold and doesn't has a row of no vectors.
+    """
+    table = ring(held.sparkSession, nodes, num_partitions=num_partitions, backup_count=backup_count)
+    due = table.select(F.col("owner").alias("node"), "partition_id", F.lit("primary").alias("role"))
+    due = due.unionByName(table.select(F.explode("backups").alias("node"), "partition_id", F.lit("backup").alias("role")))
+    copies = held.groupBy("node", "partition_id").agg(F.sum("vectors").alias("vectors"))
+    both = copies.join(due, ["node", "partition_id"], "full").select("node", "partition_id", F.coalesce("vectors", F.lit(0)).cast("long").alias("vectors"), F.coalesce("role", F.lit("stale")).alias("role"))
+    return both.where("role <> 'stale' OR vectors > 0")
+
+
 def distribution(spark: SparkSession, nodes: Iterable[str], *, num_partitions: int = PARTITIONS) -> DataFrame:
     """node, partitions: nodes without a partition count 0."""
     known = _nodes(nodes)

@@ -164,6 +164,13 @@ def _deleted(spark: SparkSession, d: str) -> DataFrame:
     return changes.without(e, e.where("label = 3"), id_col="vec_id").select("vec_id", "label")
 
 
+def _held_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Roles of the copies that two nodes hold after a third has joined."""
+    before = stats.partition_counts(_placed(spark, d)).join(ring.ring(spark, NODES[:2]), "partition_id")
+    held = before.select(F.col("owner").alias("node"), "partition_id", "vectors").unionByName(before.select(F.explode("backups").alias("node"), "partition_id", "vectors"))
+    return ring.held_roles(held, NODES)
+
+
 def _get(spark: SparkSession, d: str) -> DataFrame:
     return _embeddings(spark, d).where("vec_id = 7").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
 
@@ -400,6 +407,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ring_distribution": lambda s, d: ring.distribution(s, NODES),
         "ring_stats": lambda s, d: ring.ring_stats(s, NODES),
         "node_partitions": lambda s, d: ring.node_partitions(s, NODES, "n-1", role="backup"),
+        "ring_nodes": lambda s, d: ring.all_nodes(s, NODES),
+        "held_roles": _held_roles,
         "migrations_add": lambda s, d: ring.migrations_on_add(s, NODES, ADD),
         "migrations_remove": lambda s, d: ring.migrations_on_remove(s, NODES, REMOVE),
         "cluster_size": lambda s, d: stats.cluster_size(_embeddings(s, d)),
@@ -467,6 +476,8 @@ def oracle_sql() -> dict[str, str]:
         "ring_distribution": f"SELECT owner AS node, count(*) AS partitions FROM {_RING} GROUP BY 1",
         "ring_stats": f"SELECT count(*) AS nodes, 271::BIGINT AS partitions, min(n) AS min_per_node, max(n) AS max_per_node, 271.0::DOUBLE / count(*) AS ideal_per_node FROM (SELECT owner, count(*) AS n FROM {_RING} GROUP BY 1)",
         "node_partitions": f"SELECT partition_id FROM {_RING} WHERE backup = 'n-1'",
+        "ring_nodes": f"SELECT DISTINCT owner AS node FROM {_RING}",
+        "held_roles": f"SELECT n.node, r.partition_id, CASE WHEN n.node <> 'n-2' THEN vectors ELSE 0 END AS vectors, CASE n.node WHEN owner THEN 'primary' WHEN backup THEN 'backup' ELSE 'stale' END AS role FROM {_SIZES} r, (VALUES ('n-0'), ('n-1'), ('n-2')) n(node) WHERE n.node IN (owner, backup) OR n.node <> 'n-2' AND vectors > 0",
         "migrations_add": f"SELECT * FROM (SELECT p::INTEGER AS partition_id, {_owner_sql('p', NODES)} AS old_owner, {_owner_sql('p', (*NODES, ADD))} AS new_owner FROM range(271) t(p)) WHERE old_owner <> new_owner",
         "migrations_remove": f"SELECT * FROM (SELECT p::INTEGER AS partition_id, {_owner_sql('p', NODES)} AS old_owner, {_owner_sql('p', tuple(n for n in NODES if n != REMOVE))} AS new_owner FROM range(271) t(p)) WHERE old_owner = '{REMOVE}'",
         "cluster_size": "SELECT count(*) AS vectors FROM embeddings",

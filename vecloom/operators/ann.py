@@ -27,6 +27,8 @@ from .knn import _top, check_k, exact_distances, query_groups, search_matrix
 STRATEGIES = ("auto", "exact", "lsh", "hnsw")
 #: Rows up to which "auto" stays exact, and rows of a graph's shard.
 EXACT_ROWS, SHARD_ROWS = 1_000_000, 20_000
+#: Rows that the search of a graph keeps on its way, if not told otherwise.
+EF = 50
 
 
 def check_strategy(name: str) -> str:
@@ -106,6 +108,7 @@ class Graph:
         levels = np.minimum((-np.log(np.random.default_rng(seed).random(len(x))) / np.log(m)).astype(int), 32)
         for i, level in enumerate(levels.tolist()):
             self._insert(i, level, ef_build)
+        self._reach_all()
 
     def _prepared(self, x: np.ndarray) -> np.ndarray:
         if self.metric != "cosine":
@@ -119,8 +122,8 @@ class Graph:
             return ((y - q) ** 2).sum(1)
         return -(y @ q)
 
-    def _walk(self, q: np.ndarray, start: list[int], ef: int, layer: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """Best-first search of a layer; only allowed rows are kept, all are crossed."""
+    def _walk(self, q: np.ndarray, start: list[int], ef: int, layer: int, allowed: np.ndarray | None = None, crossed: list[int] | None = None) -> list[tuple[float, int]]:
+        """Best-first search of a layer; only allowed rows are kept, all are crossed.  Rows whose edges it follows are added to ``crossed``."""
         edges = self.layers[layer]
         seen = set(start)
         todo = list(zip(self._far(q, start).tolist(), start))
@@ -131,6 +134,8 @@ class Graph:
             d, i = heapq.heappop(todo)
             if len(kept) >= ef and d > -kept[0][0]:
                 break
+            if crossed is not None:
+                crossed.append(i)
             new = [j for j in edges.get(i, ()) if j not in seen]
             if not new:
                 continue
@@ -179,18 +184,45 @@ class Graph:
         if self.entry < 0 or level > top:
             self.entry = i
 
+    def _reach_all(self) -> None:
+        """Edges to the rows that a search for their own vector misses, from the nearest row that it finds.
+
+        Pruning can cut a row, or a group of near copies, off from all others.
+        A search with more than EF rows, or a filter, crosses all that one with
+        EF crosses, so it finds them too.  A new edge can turn other walks
+        aside: those that crossed its row are taken again, until none misses.
+        Of more than EF copies (to nine digits) some may stay out.
+        """
+        ways: dict[int, np.ndarray] = {}
+        asked: list[int] = list(range(len(self.x)))
+        while asked:
+            changed = np.zeros(len(self.x), bool)
+            for i in asked:
+                unit, way = self._prepared(self.x[i]), []
+                near = self._near(unit, EF, crossed=way)
+                ways[i] = np.array(way, np.int32)
+                own = self._far(unit, [i])[0]
+                if all(j != i for _, j in near) and (len(near) < EF or near[-1][0] - own > 1e-9 * abs(own)):
+                    self.layers[0][near[0][1]].append(i)
+                    changed[near[0][1]] = True
+            asked = [i for i, way in ways.items() if changed[way].any()]
+
+    def _near(self, unit: np.ndarray, ef: int, allowed: np.ndarray | None = None, crossed: list[int] | None = None) -> list[tuple[float, int]]:
+        """The walk through all layers."""
+        at = [self.entry]
+        for layer in range(len(self.layers) - 1, 0, -1):
+            at = [self._walk(unit, at, 1, layer)[0][1]]
+        return self._walk(unit, at, ef, 0, allowed, crossed)
+
     def search(self, q: np.ndarray, k: int, ef: int | None = None, allowed: np.ndarray | None = None) -> list[int]:
-        """Rows near a query; ``ef`` unset or 0 is 50, four times k at least under a filter."""
+        """Rows near a query; ``ef`` unset or 0 is EF, four times k at least under a filter.  With EF or more a row's own vector finds it."""
         check_k(k)
         if self.entry < 0:
             return []
         if len(q) != self.x.shape[1]:
             raise ValueError(f"query of length {len(q)}, not {self.x.shape[1]}")
-        ef = max(ef or 50, k if allowed is None else 4 * k)
-        unit, at = self._prepared(np.asarray(q, np.float64)), [self.entry]
-        for layer in range(len(self.layers) - 1, 0, -1):
-            at = [self._walk(unit, at, 1, layer)[0][1]]
-        return [i for _, i in self._walk(unit, at, ef, 0, allowed)][:max(k, ef)]
+        ef = max(ef or EF, k if allowed is None else 4 * k)
+        return [i for _, i in self._near(self._prepared(np.asarray(q, np.float64)), ef, allowed)][:max(k, ef)]
 
     def stats(self) -> list[tuple[int, int, float]]:
         """(layer, nodes, average neighbours)."""
@@ -239,6 +271,8 @@ def build_graphs(vectors: DataFrame, *, metric: str = "cosine", id_col: str = "v
                              "layers": [[{"layer": a, "nodes": b, "avg_neighbors": c} for a, b, c in graph.stats()]]})
 
     dealt = body.join(F.broadcast(sizes), "part").withColumn("_shard", _shard_of(id_col))
+    # a shard takes minutes, few bytes: with the number given, small ones aren't put into one task
+    dealt = dealt.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part", "_shard")
     return dealt.groupBy("part", "_shard").applyInPandas(build, schema)
 
 

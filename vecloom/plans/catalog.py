@@ -301,9 +301,10 @@ def _collection_rebuild(spark: SparkSession, d: str) -> DataFrame:
     c.delete_many(rows.where("cast(vector_id as long) % 40 = 20").select("vector_id"))
     out = None
     for step in ("written", "rebuilt"):
+        if step == "rebuilt":
+            c.rebuild_partition(partition_of_id("0", 3))
         found = c.search_batch(_queries(spark, d), 1).select(F.lit(step).alias("step"), "query_id", (F.col("vector_id").cast("long") == F.col("query_id")).alias("itself"))
         out = found if out is None else out.unionByName(found)
-        c.rebuild_partition(partition_of_id("0", 3))
     return out
 
 
